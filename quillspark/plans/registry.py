@@ -1,10 +1,350 @@
-"""Every registered query with its SQL."""
+"""Registered queries over the driver's tables, each with SQL of the same result where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions.core import content_id, level, tolerance
+from quillspark.functions.numbers import UNITS, mentions, registry, to_canonical
+from quillspark.operators import entities, matching, ordered, package, retrieval, scoring, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _documents(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Customers as documents of their nation."""
+    return t("customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("document_id"))
+
+
+def _findings(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Orders as findings, their priority as severity; each 97th belongs to its customer's nation as a whole."""
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "2-HIGH", "medium").when(F.col("o_orderpriority") == "3-MEDIUM", "low").otherwise("info")
+    orders = t("orders").where("o_orderkey % 5 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.select(
+        F.col("c_nationkey").alias("project_id"), F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("document_id"), severity.alias("severity"),
+        F.col("o_orderstatus").alias("finding_type"), content_id("f", F.col("o_orderkey")).alias("finding_id"))
+
+
+_FINDINGS_SQL = """findings AS (
+  SELECT c_nationkey AS project_id, CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS document_id,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' WHEN '3-MEDIUM' THEN 'low' ELSE 'info' END AS severity,
+    o_orderstatus AS finding_type, 'f__' || substr(sha256(o_orderkey::VARCHAR), 1, 12) AS finding_id
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0),
+pointed AS (SELECT *, CASE severity WHEN 'high' THEN 25 WHEN 'medium' THEN 12 WHEN 'low' THEN 5 ELSE 2 END AS points FROM findings)"""
+_DOCUMENT_SQL = f"""{_FINDINGS_SQL},
+per AS (SELECT document_id, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'medium') AS n_medium, count(*) FILTER (WHERE severity = 'low') AS n_low, count(*) FILTER (WHERE severity = 'info') AS n_info, sum(points) AS points FROM pointed WHERE document_id IS NOT NULL GROUP BY document_id),
+scored AS (SELECT c_nationkey AS project_id, c_custkey AS document_id, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, coalesce(n_info, 0) AS n_info, least(100, coalesce(points, 0))::BIGINT AS score FROM customer LEFT JOIN per ON c_custkey = document_id)"""
+_PROJECT_SQL = f"""{_DOCUMENT_SQL},
+means AS (SELECT project_id, count(*) AS n_documents, sum(score)::BIGINT AS total FROM scored GROUP BY project_id),
+package AS (SELECT project_id, sum(points) AS package_points FROM pointed WHERE document_id IS NULL GROUP BY project_id),
+rounded AS (SELECT m.project_id, n_documents, (total // n_documents + CASE WHEN 2 * (total % n_documents) > n_documents OR (2 * (total % n_documents) = n_documents AND (total // n_documents) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT AS document_mean, coalesce(package_points, 0)::BIGINT AS package_points FROM means m LEFT JOIN package p ON m.project_id = p.project_id),
+projects AS (SELECT *, least(100, document_mean + package_points)::BIGINT AS score FROM rounded)"""
+
+
+@query(f"WITH {_DOCUMENT_SQL} SELECT * FROM scored")
+def score_documents(t):
+    return scoring.score_documents(_documents(t), _findings(t))
+
+
+@query(f"WITH {_PROJECT_SQL} SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'moderate' ELSE 'routine' END AS level FROM projects")
+def score_projects(t):
+    return scoring.score_projects(_documents(t), _findings(t)).withColumn("level", level(F.col("score"))).orderBy(F.desc("score"), "project_id")
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT * EXCLUDE (points) FROM pointed ORDER BY project_id, coalesce(document_id::VARCHAR, '~'), severity, finding_type, finding_id LIMIT 100".replace("severity, finding_type, finding_id LIMIT", "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, finding_type, finding_id LIMIT"))
+def findings_page(t):
+    rows = _findings(t)
+    return rows.orderBy(*scoring.sort_key(rows)).limit(100)
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM findings GROUP BY severity UNION ALL SELECT 'finding_type', finding_type, count(*) FROM findings GROUP BY finding_type")
+def severity_facets(t):
+    return scoring.facets(_findings(t), "severity", "finding_type")
+
+
+@query("SELECT user_id, max_by(event_type, (n, event_type)) AS dominant, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def dominant_value(t):
+    return scoring.dominant(t("events"), "user_id", "event_type")
+
+
+@query(r"""SELECT doc_id, heading, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\s+', ' ', 'g')) AS heading FROM documents) WHERE heading <> '' GROUP BY ALL HAVING count(*) >= 3""")
+def duplicate_headings(t):
+    return package.repeated_headings(t("documents"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) = 0) AS n_empty, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) < 32) AS n_low FROM documents GROUP BY source")
+def low_text_ratio(t):
+    return package.text_coverage(t("documents"), "source")
+
+
+_TOKENS = "[x for x in string_split_regex(lower(coalesce({0}, '')), '[^a-z]+') if length(x) >= 2]"
+
+
+def _headings(t):
+    return t("documents").select(F.col("doc_id").alias("heading_id"), F.element_at(F.split("text", "\n"), 1).alias("title"))
+
+
+def _rules(t):
+    return t("benchmark").select(F.col("item_id").alias("rule_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("alias"))
+
+
+@query(rf"""
+WITH h AS (SELECT doc_id AS heading_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\s+', ' ', 'g')) AS title, list_distinct({_TOKENS.format('string_split(text, chr(10))[1]')}) AS ht FROM documents),
+a AS (SELECT item_id AS rule_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS raw FROM benchmark),
+r AS (SELECT rule_id, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS alias, list_distinct({_TOKENS.format('raw')}) AS rt FROM a),
+p AS (SELECT heading_id, rule_id, title, alias, len(list_intersect(ht, rt)) AS both_n, len(ht) AS nh, len(rt) AS nr FROM h CROSS JOIN r),
+m AS (SELECT heading_id, rule_id, CASE WHEN title = alias THEN 1 WHEN length(alias) >= 6 AND contains(title, alias) THEN 2 WHEN both_n = nr OR both_n / (nh + nr - both_n) >= 0.6 THEN 3 END AS tier FROM p WHERE both_n > 0)
+SELECT * FROM m WHERE tier IS NOT NULL""")
+def section_match_tiers(t):
+    return package.match_sections(_headings(t), _rules(t))
+
+
+_REQUIRED = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT user_id, k AS missing FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS k) r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = k)")
+def missing_type(t):
+    return package.missing_types(t("events"), "user_id", "event_type", list(_REQUIRED))
+
+
+@query(f"""
+WITH ct AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), tc AS (SELECT item_id, term, count(*) AS c FROM ct GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
+w AS (SELECT tc.item_id, tc.term, (1 + ln(c)) * (ln(1 + (SELECT count(*) FROM benchmark) / (1 + df)) + 1) AS w FROM tc JOIN df ON tc.term = df.term),
+norm AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY item_id),
+qt AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), qc AS (SELECT doc_id, term, 1 + ln(count(*)) AS qw FROM qt GROUP BY ALL),
+s AS (SELECT doc_id, w.item_id, sum(qw * w) AS dot FROM qc JOIN w ON qc.term = w.term GROUP BY ALL),
+r AS (SELECT doc_id AS query_id, s.item_id AS requirement_id, round(dot / norm, 6) AS score FROM s JOIN norm ON s.item_id = norm.item_id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, requirement_id) AS rank FROM r WHERE score >= 0.05 QUALIFY rank <= 5""")
+def tfidf_topk(t):
+    return retrieval.retrieve(t("documents").select(F.col("doc_id").alias("query_id"), "text"), t("benchmark").select(F.col("item_id").alias("requirement_id"), "text"))
+
+
+@query("""
+WITH sums AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS computed, count(*) AS n_parts FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2),
+b AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS stated, computed::DECIMAL(18,2) AS computed, n_parts, abs(o_totalprice::DECIMAL(18,2) - computed::DECIMAL(18,2)) AS abs_diff FROM orders JOIN sums ON o_orderkey = l_orderkey)
+SELECT o_orderkey, stated, computed, n_parts, abs_diff::DECIMAL(18,2) AS abs_diff,
+  CASE WHEN stated = 0 AND computed = 0 THEN false WHEN stated = 0 OR computed = 0 THEN abs_diff > 0.005 ELSE abs_diff > 0.005 AND abs_diff > 0.02 * greatest(abs(stated), abs(computed)) END AS mismatch FROM b""")
+def reconcile_total(t):
+    return matching.reconcile(t("orders"), t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "o_totalprice", "l_extendedprice")
+
+
+@query("""
+WITH g AS (SELECT p_brand, p_size, p_type FROM part GROUP BY ALL HAVING count(*) <= 10),
+p AS (SELECT part.* FROM part SEMI JOIN g ON part.p_brand = g.p_brand AND part.p_size = g.p_size AND part.p_type = g.p_type),
+d AS (SELECT a.p_brand, a.p_size, a.p_type, a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, a.p_retailprice::DECIMAL(18,2) AS x, b.p_retailprice::DECIMAL(18,2) AS y FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey)
+SELECT p_brand, p_size, p_type, p_partkey_a, p_partkey_b, abs(x - y)::DECIMAL(18,2) AS abs_diff,
+  CASE WHEN x = 0 AND y = 0 THEN false WHEN x = 0 OR y = 0 THEN abs(x - y) > 0.01 ELSE abs(x - y) > 0.01 AND abs(x - y) > 0.02 * greatest(abs(x), abs(y)) END AS mismatch FROM d""")
+def tolerance_pairs(t):
+    rows = t("part").withColumn("value", F.col("p_retailprice").cast("decimal(18,2)"))
+    pairs, _ = matching.guarded_pairs(rows, ["p_brand", "p_size", "p_type"], "p_partkey", ["value"])
+    out = matching.compare_pairs(pairs, "value", F.lit("0.01"))
+    return out.select("p_brand", "p_size", "p_type", "p_partkey_a", "p_partkey_b", F.col("abs_diff").cast("decimal(18,2)").alias("abs_diff"), "mismatch")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, sum(l_quantity::DECIMAL(18,2)) AS total FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity::DECIMAL(18,2)) > 0)
+SELECT l.l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(l_quantity::DECIMAL(18,2) * 100 - (l_discount * 1000)::DECIMAL(18,2) * total) > 1.0 * total AS flagged FROM lineitem l JOIN s ON l.l_orderkey = s.l_orderkey""")
+def percent_recompute(t):
+    rows = t("lineitem").withColumn("stated_share", (F.col("l_discount") * 1000).cast("decimal(18,2)"))
+    return matching.share_check(rows, "l_orderkey", "l_quantity", F.col("stated_share")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flagged")
+
+
+@query("""
+WITH n AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey)
+SELECT a.s_nationkey, a.s_suppkey AS s_suppkey_a, b.s_suppkey AS s_suppkey_b, 'pair' AS outcome FROM supplier a JOIN n ON a.s_nationkey = n.s_nationkey AND n.n <= 10 JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
+UNION ALL SELECT s_nationkey, NULL, NULL, 'group_too_large' FROM n WHERE n > 10""")
+def guarded_self_join(t):
+    pairs, large = matching.guarded_pairs(t("supplier"), ["s_nationkey"], "s_suppkey", [])
+    return pairs.withColumn("outcome", F.lit("pair")).unionByName(large.select("s_nationkey", F.col("reason").alias("outcome")), allowMissingColumns=True)
+
+
+@query("""
+WITH c AS (SELECT c_nationkey, c_custkey, c_custkey // 40 AS grp, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 5 <> 0 THEN (c_acctbal > 0) END AS positive FROM customer),
+k AS (SELECT c_nationkey, grp FROM c GROUP BY ALL HAVING count(*) <= 10),
+p AS (SELECT a.c_nationkey, a.grp, a.c_custkey AS c_custkey_a, b.c_custkey AS c_custkey_b, a.segment AS sa, b.segment AS sb, a.positive AS pa, b.positive AS pb FROM c a JOIN k ON a.c_nationkey = k.c_nationkey AND a.grp = k.grp JOIN c b ON a.c_nationkey = b.c_nationkey AND a.grp = b.grp AND a.c_custkey < b.c_custkey),
+s AS (SELECT *, CASE WHEN sa IS NULL OR sb IS NULL THEN 'unknown' WHEN sa = sb THEN 'match' ELSE 'conflict' END AS state_segment, CASE WHEN pa IS NULL OR pb IS NULL THEN 'unknown' WHEN pa = pb THEN 'match' ELSE 'conflict' END AS state_positive FROM p)
+SELECT c_custkey_a, c_custkey_b, state_segment, state_positive, (state_segment <> 'match' OR state_positive <> 'match') AS suppressed FROM s""")
+def tri_state(t):
+    rows = t("customer").select("c_nationkey", "c_custkey", F.expr("c_custkey div 40").alias("grp"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") > 0).alias("positive"))
+    pairs, _ = matching.guarded_pairs(rows, ["c_nationkey", "grp"], "c_custkey", ["segment", "positive"])
+    return matching.tri_states(pairs, ["segment", "positive"]).select("c_custkey_a", "c_custkey_b", "state_segment", "state_positive", "suppressed")
+
+
+@query("""
+WITH a AS (SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM a WHERE k <= 2)
+SELECT event_type, user_id, event_id FROM b WHERE n <= 10""")
+def suppression_caps(t):
+    return matching.sample_suppressed(t("events").select("event_type", "user_id", "event_id"), "event_type", "user_id", "event_id")
+
+
+@query("""
+WITH claims AS (SELECT c_nationkey AS project_id, CASE WHEN c_custkey % 11 = 0 AND c_nationkey % 3 = 0 THEN c_custkey % 2 + c_nationkey END::VARCHAR AS identifier, c_mktsegment AS name, CASE WHEN c_custkey % 2 = 0 THEN 'llp' ELSE 'jsc' END AS form, c_custkey % 13 = 0 AND c_nationkey % 2 = 0 AS designer FROM customer),
+v AS (SELECT DISTINCT project_id, name FROM claims WHERE designer),
+k AS (SELECT c.* FROM claims c ANTI JOIN v ON c.project_id = v.project_id AND c.name = v.name WHERE NOT designer),
+f AS (SELECT project_id, count(DISTINCT identifier) AS n_identifiers, count(DISTINCT (name, form)) AS n_names, min(identifier) AS i, min(name) AS nm FROM k GROUP BY project_id),
+e AS (SELECT p.project_id, coalesce(n_identifiers, 0) AS n_identifiers, coalesce(n_names, 0) AS n_names, i, nm FROM (SELECT DISTINCT project_id FROM claims) p LEFT JOIN f ON p.project_id = f.project_id),
+s AS (SELECT *, CASE WHEN n_identifiers >= 2 THEN 'conflicting_identifier' WHEN n_identifiers = 1 THEN 'confirmed_by_identifier' WHEN n_names = 1 THEN 'confirmed_by_name' WHEN n_names > 1 THEN 'unresolved_names' ELSE 'absent' END AS status FROM e)
+SELECT project_id, n_identifiers, n_names, status, CASE status WHEN 'confirmed_by_identifier' THEN 'org__' || substr(sha256(i), 1, 12) WHEN 'confirmed_by_name' THEN 'org__' || substr(sha256(nm), 1, 12) END AS entity_id FROM s""")
+def entity_resolution(t):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    claims = t("customer").select(
+        nation.alias("project_id"), F.when((key % 11 == 0) & (nation % 3 == 0), key % 2 + nation).cast("string").alias("identifier"), F.col("c_mktsegment").alias("name"),
+        F.when(key % 2 == 0, "llp").otherwise("jsc").alias("form"), ((key % 13 == 0) & (nation % 2 == 0)).alias("designer"))
+    return entities.resolve_operators(claims)
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS representative, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(t):
+    return entities.exact_groups(t("documents"), "doc_id", F.col("text"))
+
+
+@query()
+def near_duplicate_clusters(t):
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x > 0).cast("long")))
+    return entities.near_clusters(t("embeddings").select(F.col("vec_id").alias("node"), bits.alias("h")))
+
+
+@query("""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(s, 5) AS cosine FROM p WHERE s >= 0.30""")
+def cosine_links(t):
+    q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    pairs = t("embeddings").join(q, "label").where("vec_id != query_id")
+    return pairs.withColumn("s", entities.cosine(F.col("q"), F.col("embedding"))).where("s >= 0.30").select("query_id", "vec_id", F.round("s", 5).alias("cosine"))
+
+
+@query("""
+WITH a AS (SELECT vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS v FROM embeddings),
+e AS (SELECT vec_id, [exp(50 * (x - list_max(v))) for x in v] AS e FROM a), s AS (SELECT vec_id, [x / list_sum(e) for x in e] AS p FROM e)
+SELECT vec_id, round(list_max(p), 6) AS best, CASE WHEN list_reverse_sort(p)[1] >= 0.30 AND list_reverse_sort(p)[1] - list_reverse_sort(p)[2] >= 0.05 THEN list_position(p, list_max(p)) - 1 END::BIGINT AS class FROM s""")
+def softmax_decision(t):
+    p = entities.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))
+    return t("embeddings").select("vec_id", p.alias("p")).select("vec_id", F.round(F.array_max("p"), 6).alias("best"), entities.decide(F.col("p")).cast("long").alias("class"))
+
+
+@query("SELECT quality, toxic, count(*) AS n, count(*) FILTER (WHERE n_chars < 300) AS n_short, count(*) FILTER (WHERE (n_chars >= 300)::INT = quality) AS n_agree FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY ALL")
+def label_agreement(t):
+    both = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    return both.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 300).alias("n_short"), F.count_if((F.col("n_chars") >= 300).cast("int") == F.col("quality")).alias("n_agree"))
+
+
+@query("SELECT event_id, user_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM events")
+def range_page_to_block(t):
+    return ordered.blocks(t("events").select("event_id", "user_id", "event_type"), "user_id", "event_id", F.col("event_type") == "signup").select("event_id", "user_id", "block")
+
+
+@query("""
+WITH b AS (SELECT event_id, user_id, event_type, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, user_id, sum((before IS NULL OR before <> event_type)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b""")
+def continuation(t):
+    rows = t("events").select("event_id", "user_id", "event_type")
+    return ordered.runs(rows, "user_id", "event_id", F.col("event_type") == F.col("_before.event_type")).select("event_id", "user_id", "run")
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS place, round(l_extendedprice::DECIMAL(28,10), 2)::DECIMAL(18,2) AS w FROM lineitem),
+s AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey) AS total, max(place) FILTER (WHERE w > 0) OVER (PARTITION BY l_orderkey) AS last FROM w),
+c AS (SELECT *, CASE WHEN w > 0 THEN ((20000 * w + total) // (2 * total))::DECIMAL(18,2) / 100 ELSE 0 END::DECIMAL(18,2) AS c FROM s)
+SELECT l_orderkey, place, CASE WHEN place = last THEN 100 - coalesce(sum(c) FILTER (WHERE place <> last) OVER (PARTITION BY l_orderkey), 0) ELSE c END::DECIMAL(18,2) AS allocated FROM c""")
+def running_allocation(t):
+    from pyspark.sql import Window as W
+
+    place = F.col("l_linenumber") * 1_000_000 + F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = t("lineitem").withColumn("place", place)
+    return scoring.allocate(rows, "l_orderkey", "place", F.col("l_extendedprice"), F.lit("100")).select("l_orderkey", "place", "allocated")
+
+
+@query()
+def number_scan(t):
+    return mentions(t("documents"))
+
+
+_UNITS_SQL = ", ".join(f"('{c}', '{k}', '{u}', {f}::DECIMAL(16,6))" for c, k, u, f in UNITS)
+
+
+@query(f"""
+WITH r(canonical, kind, unit, factor) AS (VALUES {_UNITS_SQL}), l AS (SELECT *, [x.unit for x in (SELECT list({{'unit': unit}} ORDER BY unit) FROM r)] AS u FROM (SELECT event_id, value FROM events WHERE value IS NOT NULL)),
+p AS (SELECT event_id, value, u[event_id % len(u) + 1] AS unit FROM l)
+SELECT event_id, p.unit, canonical, kind, (value::DECIMAL(18,2) * factor)::DECIMAL(34,8) AS canonical_value FROM p JOIN r ON p.unit = r.unit""")
+def unit_convert(t):
+    events = t("events").where("value is not null")
+    units = F.array(*[F.lit(u) for u in sorted(u for _, _, u, _ in UNITS)])
+    named = events.select("event_id", "value", F.get(units, F.col("event_id") % len(UNITS)).alias("unit"))
+    both = named.join(F.broadcast(registry(events.sparkSession)), "unit")  # the registry's rows are those of UNITS
+    return both.select("event_id", "unit", "canonical", "kind", to_canonical(F.col("value").cast("decimal(18,2)"), F.col("factor")).cast("decimal(34,8)").alias("canonical_value"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>')) AS h, unnest(range(len(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>')))) AS n FROM pages)
+SELECT page_id, n, substr(h, 3, 1)::INT AS level, trim(regexp_replace(h, '<[^>]*>', '', 'g')) AS title FROM h""")
+def html_sections(t):
+    return package.html_sections(t("pages"))
+
+
+@query("""
+SELECT 'orders.o_custkey' AS rule, count(*) AS broken FROM orders ANTI JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'lineitem.l_orderkey', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT 'labels.doc_id', count(*) FROM labels ANTI JOIN documents ON labels.doc_id = documents.doc_id""")
+def fk_orphans(t):
+    rules = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels", "doc_id", "documents", "doc_id"))
+    counts = [validate.orphans(t(c).withColumnRenamed(f, "_f"), "_f", t(p), k).agg(F.lit(f"{c}.{f}").alias("rule"), F.count("*").alias("broken")) for c, f, p, k in rules]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def uniqueness(t):
+    return validate.repeated(t("lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH s AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), a AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
+SELECT *, 'stored' AS side FROM (FROM s EXCEPT ALL FROM a) UNION ALL SELECT *, 'actual' FROM (FROM a EXCEPT ALL FROM s)""")
+def except_both_ways(t):
+    stored = t("customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return validate.differences(stored, t("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n")))
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS progress, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events)
+SELECT event_id, user_id, progress FROM p WHERE back <= 200""")
+def event_log_progress(t):
+    return ordered.recent_log(t("events").select("event_id", "user_id", "value"), "user_id", "event_id", "value").select("event_id", "user_id", "progress")
+
+
+@query("""
+WITH b AS (SELECT user_id, ts, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+r AS (SELECT *, sum((before IS NULL OR us - before > 3600000000)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT user_id, count(*) AS n, min(us) AS start_us, max(us) AS end_us FROM r GROUP BY user_id, run""")
+def ttl_sessions(t):
+    found = ordered.sessions(t("events"), "user_id", "ts", 3600)
+    return found.select("user_id", "n", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity::DECIMAL(24,6) - 40 > 0.01 AND l_quantity::DECIMAL(24,6) - 40 > 0.02 * 40) AS violation FROM lineitem")
+def row_bounds(t):
+    return matching.beyond_bound(t("lineitem"), F.col("l_quantity"), F.lit("40")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "violation")
+
+
+@query("SELECT r.n_regionkey AS fold, n.n_nationkey, CASE WHEN n.n_regionkey = r.n_regionkey THEN 'test' ELSE 'train' END AS part FROM nation n, (SELECT DISTINCT n_regionkey FROM nation) r")
+def leave_one_out(t):
+    folds = t("nation").agg(F.collect_set("n_regionkey").alias("f"))  # one value a project group
+    rows = t("nation").select("n_nationkey", "n_regionkey", F.explode(F.array(*[F.lit(x) for x in sorted(folds.first()["f"])])).alias("fold"))
+    return rows.select("fold", "n_nationkey", F.when(F.col("n_regionkey") == F.col("fold"), "test").otherwise("train").alias("part"))
