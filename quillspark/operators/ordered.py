@@ -21,7 +21,8 @@ def runs(rows: DataFrame, key: str, order: str, continues: Column) -> DataFrame:
 
 def sessions(rows: DataFrame, key: str, time: str, ttl_seconds: int) -> DataFrame:
     """(key, start, end, n): rows of a key that follow each other within the time to live."""
-    late = F.col(time).cast("double") - F.col(f"_before.{time}").cast("double") <= ttl_seconds
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    late = micros(time) - micros(f"_before.{time}") <= ttl_seconds * 1_000_000
     numbered = runs(rows.select(key, time), key, time, late)
     return numbered.groupBy(key, "run").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).drop("run")
 

@@ -52,9 +52,11 @@ def allocate(rows: DataFrame, key: str, order: str, weight: Column, total: Colum
 
     The windows span a key's rows: meant for keys with few, such as a score's parts.
     """
-    w = rows.withColumn("_w", money(weight)).withColumn("_t", money(total))
+    cents = lambda c: (money(c) * 100).cast("long")  # noqa: E731  whole cents: no quotient is rounded twice
+    w = rows.withColumn("_w", cents(weight)).withColumn("_t", cents(total))
     every = W.partitionBy(key)
     w = w.withColumn("_sum", F.sum("_w").over(every)).withColumn("_last", F.max(F.when(F.col("_w") > 0, F.col(order))).over(every))
-    cents = F.when(F.col("_w") > 0, F.round(F.col("_t") * F.col("_w") / F.col("_sum"), 2)).otherwise(F.lit(0)).cast("decimal(18,2)")
-    w = w.withColumn("_c", cents).withColumn("_others", F.sum(F.when(F.col(order) != F.col("_last"), F.col("_c")).otherwise(F.lit(0).cast("decimal(18,2)"))).over(every))
-    return w.withColumn("allocated", F.when(F.col(order) == F.col("_last"), F.col("_t") - F.col("_others")).otherwise(F.col("_c")).cast("decimal(18,2)")).drop("_w", "_t", "_sum", "_last", "_c", "_others")
+    w = w.withColumn("_c", F.expr("if(_w > 0, (2 * _t * _w + _sum) div (2 * _sum), 0)"))
+    w = w.withColumn("_others", F.sum(F.when(F.col(order) != F.col("_last"), F.col("_c")).otherwise(0)).over(every))
+    out = F.when(F.col(order) == F.col("_last"), F.col("_t") - F.col("_others")).otherwise(F.col("_c"))
+    return w.withColumn("allocated", (out.cast("decimal(18,0)") / 100).cast("decimal(18,2)")).drop("_w", "_t", "_sum", "_last", "_c", "_others")

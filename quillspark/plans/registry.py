@@ -260,10 +260,11 @@ def continuation(t):
 
 
 @query("""
-WITH w AS (SELECT l_orderkey, l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS place, round(l_extendedprice::DECIMAL(28,10), 2)::DECIMAL(18,2) AS w FROM lineitem),
-s AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey) AS total, max(place) FILTER (WHERE w > 0) OVER (PARTITION BY l_orderkey) AS last FROM w),
-c AS (SELECT *, CASE WHEN w > 0 THEN ((20000 * w + total) // (2 * total))::DECIMAL(18,2) / 100 ELSE 0 END::DECIMAL(18,2) AS c FROM s)
-SELECT l_orderkey, place, CASE WHEN place = last THEN 100 - coalesce(sum(c) FILTER (WHERE place <> last) OVER (PARTITION BY l_orderkey), 0) ELSE c END::DECIMAL(18,2) AS allocated FROM c""")
+WITH w AS (SELECT l_orderkey, l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS place, round(l_extendedprice * 100)::BIGINT AS w FROM lineitem),
+s AS (SELECT l_orderkey, sum(w)::BIGINT AS total, max(place) FILTER (WHERE w > 0) AS last FROM w GROUP BY l_orderkey),
+c AS (SELECT w.l_orderkey, place, last, CASE WHEN w > 0 THEN (20000 * w + total) // (2 * total) ELSE 0 END::BIGINT AS c FROM w JOIN s ON w.l_orderkey = s.l_orderkey),
+o AS (SELECT l_orderkey, sum(c) AS others FROM c WHERE place <> last GROUP BY l_orderkey)
+SELECT c.l_orderkey, place, ((CASE WHEN place = last THEN 10000 - coalesce(others, 0) ELSE c END)::DECIMAL(18,2) / 100)::DECIMAL(18,2) AS allocated FROM c LEFT JOIN o ON c.l_orderkey = o.l_orderkey""")
 def running_allocation(t):
     from pyspark.sql import Window as W
 
@@ -278,18 +279,18 @@ def number_scan(t):
 
 
 _UNITS_SQL = ", ".join(f"('{c}', '{k}', '{u}', {f}::DECIMAL(16,6))" for c, k, u, f in UNITS)
+_UNIT_NAMES_SQL = ", ".join(f"'{u}'" for u in sorted(u for _, _, u, _ in UNITS))
 
 
 @query(f"""
-WITH r(canonical, kind, unit, factor) AS (VALUES {_UNITS_SQL}), l AS (SELECT *, [x.unit for x in (SELECT list({{'unit': unit}} ORDER BY unit) FROM r)] AS u FROM (SELECT event_id, value FROM events WHERE value IS NOT NULL)),
-p AS (SELECT event_id, value, u[event_id % len(u) + 1] AS unit FROM l)
-SELECT event_id, p.unit, canonical, kind, (value::DECIMAL(18,2) * factor)::DECIMAL(34,8) AS canonical_value FROM p JOIN r ON p.unit = r.unit""")
+WITH r(canonical, kind, unit, factor) AS (VALUES {_UNITS_SQL}), p AS (SELECT event_id, value, [{_UNIT_NAMES_SQL}][event_id % {len(UNITS)} + 1] AS unit FROM events WHERE value IS NOT NULL)
+SELECT event_id, p.unit, canonical, kind, (value::DECIMAL(20,2) * factor::DECIMAL(18,6))::DOUBLE AS canonical_value FROM p JOIN r ON p.unit = r.unit""")
 def unit_convert(t):
     events = t("events").where("value is not null")
     units = F.array(*[F.lit(u) for u in sorted(u for _, _, u, _ in UNITS)])
     named = events.select("event_id", "value", F.get(units, F.col("event_id") % len(UNITS)).alias("unit"))
     both = named.join(F.broadcast(registry(events.sparkSession)), "unit")  # the registry's rows are those of UNITS
-    return both.select("event_id", "unit", "canonical", "kind", to_canonical(F.col("value").cast("decimal(18,2)"), F.col("factor")).cast("decimal(34,8)").alias("canonical_value"))
+    return both.select("event_id", "unit", "canonical", "kind", to_canonical(F.col("value").cast("decimal(18,2)"), F.col("factor")).cast("double").alias("canonical_value"))
 
 
 @query(r"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Event files as they come, under the schema of those that are there."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
