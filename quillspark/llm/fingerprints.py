@@ -45,7 +45,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = None
     for batch in batches:
         out = []
-        for part, doc_id, text, guest in zip(batch["_part"], batch["doc_id"], batch["text"], batch["_guest"], strict=True):
+        for part, doc_id, text, guest in zip(batch["_part"], batch["_name"], batch["text"], batch["_guest"], strict=True):
             text = text or ""
             own = chunk_set(text)
             if held is not None and held[0] == part:
@@ -55,8 +55,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edited_own = chunk_set(edited)
                 out.append((that_id, len(that), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), spelled(that_own), spelled(edited_own), containment(that_own, edited_own), containment(that_own, own)))
             held = None if guest else (part, doc_id, text, own)
-        frame = pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        yield frame.assign(id=pd.array([None if x is None else int(x) for x in frame["id"]], dtype="Int64"))
+        yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -88,8 +87,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     guests = guests.groupBy("_part", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     both = rows.withColumn("_guest", F.lit(False)).unionByName(guests.select("doc_id", "text", "_part").withColumn("_guest", F.lit(True)))
     dealt = both.repartition(n, "_part").sortWithinPartitions("_part", "_guest", "doc_id", "text")
-    out = dealt.mapInPandas(_compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", "doc_id")
+    named = dealt.select("_part", F.col("doc_id").cast("string").alias("_name"), "text", "_guest")  # as text: pandas would make floats of longs with nulls
+    out = named.mapInPandas(_compare, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -79,9 +77,8 @@ def _fold(cells: pd.DataFrame) -> pd.DataFrame:
     cells = cells.sort_values(["size", "salt"], ascending=[False, True])
     carry, copies = 0.0, []
     for size, n, rate in zip(cells["size"], cells["n"], cells["rate"], strict=True):
-        low = math.floor(rate + 1e-9)
         want = n * rate * size + carry
-        got = max(low * n, min((low + (low < MOST)) * n, round(want / size)))
+        got = max(0, min(MOST * n, round(want / size)))
         carry = want - got * size
         copies.append(got)
     return cells.assign(taken=pd.Series(copies, index=cells.index, dtype="int64"))[["src", "size", "salt", "n", "taken"]]

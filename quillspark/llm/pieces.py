@@ -35,7 +35,11 @@ class ChunkTable:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece of this model crosses a whitespace mark: its texts can't be cut there")
-        self.ids: dict[str, bytes] = {}  # int32 ids of a chunk
+        alone = self.model.encode("x ")[-1:]  # a mark with nothing behind it: by itself the empty text, which has no ids
+        if self.model.id_to_piece(alone[0]) != MARK:
+            raise ValueError("this model has no piece for a single whitespace mark")
+        self.alone = np.array(alone, np.int32).tobytes()
+        self.ids: dict[str, bytes] = {"": self.alone}  # int32 ids of a chunk
         self.odd: dict[str, str] = {}  # decoded text of the chunks that don't decode to themselves
 
     def chunks(self, text: str) -> list[str]:
@@ -63,7 +67,7 @@ class ChunkTable:
             while to < len(texts) and (to == at or chars + len(texts[to]) <= BLOCK_CHARS):
                 chars, to = chars + len(texts[to]), to + 1
             if len(self.ids) > TABLE_CHUNKS:
-                self.ids, self.odd = {}, {}
+                self.ids, self.odd = {"": self.alone}, {}
             keys = [self.chunks(t) for t in texts[at:to]]
             self.learn(set(chain.from_iterable(keys)))
             for own in keys:

@@ -78,7 +78,7 @@ def thresholds(rates: DataFrame) -> DataFrame:
         else:
             whole = wide.first()  # of the corpus: two values for each rate
             for n in names:
-                lo, hi = whole[f"_{n}{level}"] if whole else (None, None)
+                lo, hi = (whole and whole[f"_{n}{level}"]) or (None, None)
                 out = out.withColumn(f"_{n}{level}", F.struct(F.lit(lo).cast("int").alias("lo"), F.lit(hi).cast("int").alias("hi")))
     level = f"case when _t0 >= {MIN_DOCS} then 0 when _t1 >= {MIN_DOCS} then 1 else 2 end"
     out = out.withColumn("_level", F.expr(level))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.chunking import Sizes, cuts, digests
 from quillspark.llm.common import cut, packed, small_batches, table, unpacked
 
-SIZES = Sizes(16, 32, 96)
+SIZES = Sizes(12, 24, 72)
 #: Characters of adjoining repeated chunks that make a repeated passage: under what a passage of 50 words keeps between the chunks cut by its edges, and over what common phrases and short lines have.
-PASSAGE = 160
+PASSAGE = 120
 
 
 def chunks(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
