@@ -14,8 +14,8 @@ from quillspark.llm.chunking import Sizes, cuts, digests
 from quillspark.llm.common import cut, small_batches, table
 
 SIZES = Sizes(24, 48, 144)
-#: Rows that lie between two cuts of the order, about.
-ROWS = 20_000
+#: Rows that lie between two cuts of the order, about, and the most cuts: what the driver holds of the order has a bound, and a larger part only streams longer.
+ROWS, PARTS = 20_000, 8192
 
 
 def chunk_set(text: str | None, sizes: Sizes = SIZES) -> np.ndarray:
@@ -72,7 +72,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ids = docs.agg(F.count("*").alias("n")).first()["n"]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids // ROWS + 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, ids // ROWS + 1))
     steps = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)}) if n > 1 else []
     bounds = "array({})".format(", ".join(f"{b}L" for b in steps))
     found = F.expr(  # how many bounds are at or below doc_id, by halving
