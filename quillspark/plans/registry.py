@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.core import content_id, level, tolerance
 from quillspark.functions.numbers import UNITS, mentions, registry, to_canonical
-from quillspark.operators import entities, matching, ordered, package, retrieval, scoring, validate
+from quillspark.operators import entities, matching, meta, ordered, package, retrieval, scoring, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -349,3 +349,46 @@ def leave_one_out(t):
     folds = t("nation").agg(F.collect_set("n_regionkey").alias("f"))  # one value a project group
     rows = t("nation").select("n_nationkey", "n_regionkey", F.explode(F.array(*[F.lit(x) for x in sorted(folds.first()["f"])])).alias("fold"))
     return rows.select("fold", "n_nationkey", F.when(F.col("n_regionkey") == F.col("fold"), "test").otherwise("train").alias("part"))
+
+
+def _features(t):
+    """Orders of a nation's customers by priority and status as findings of the four parts."""
+    per = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("project_id")).agg(
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("a"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("b"), F.count_if(F.col("o_orderstatus") == "P").alias("c"), F.count("*").alias("n"))
+    rows = (("P1", "p1_medium_severity_rate", "a"), ("P1", "p1_low_severity_rate", "b"), ("P2", "p2_potential_conflicts", "a"), ("P3", "p3_proven_conflicts", "b"), ("P4", "p4_proven_conflicts", "c"), ("P4", "p4_unresolved_identity_findings", "a"))
+    each = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(name).alias("feature"), F.col(count).alias("count"), F.lit(meta.FEATURE_WEIGHTS[part][name]).alias("weight")) for part, name, count in rows])
+    found = per.select("project_id", "n", F.explode(each).alias("f")).select("project_id", "n", "f.*")
+    return found.withColumn("value", meta.normalized(F.col("count"), F.col("n"))).withColumn("contribution", meta.contribution(F.col("value"), F.col("weight")))
+
+
+_FEATURES_SQL = """per AS (
+  SELECT c_nationkey AS project_id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS a, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS b, count(*) FILTER (WHERE o_orderstatus = 'P') AS c, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey),
+counted AS (
+  SELECT project_id, n, 'P1' AS part, 'p1_medium_severity_rate' AS feature, a AS k, 12 AS weight FROM per UNION ALL SELECT project_id, n, 'P1', 'p1_low_severity_rate', b, 4 FROM per
+  UNION ALL SELECT project_id, n, 'P2', 'p2_potential_conflicts', a, 16 FROM per UNION ALL SELECT project_id, n, 'P3', 'p3_proven_conflicts', b, 18 FROM per
+  UNION ALL SELECT project_id, n, 'P4', 'p4_proven_conflicts', c, 20 FROM per UNION ALL SELECT project_id, n, 'P4', 'p4_unresolved_identity_findings', a, 5 FROM per),
+valued AS (SELECT project_id, part, feature, weight, round((k::DOUBLE / n)::DECIMAL(18,9), 6)::DECIMAL(12,6) AS value FROM counted),
+features AS (SELECT *, round(value * weight::DECIMAL(8,2), 2)::DECIMAL(12,2) AS contribution FROM valued),
+parts AS (SELECT project_id, part, sum(contribution)::DECIMAL(18,2) AS raw, CASE part WHEN 'P2' THEN 0.35 ELSE 1 END::DECIMAL(8,6) AS factor, CASE part WHEN 'P1' THEN 35 WHEN 'P2' THEN 8 ELSE 25 END::DECIMAL(8,2) AS cap FROM features GROUP BY project_id, part),
+capped AS (SELECT *, least(round(raw * factor, 2), cap)::DECIMAL(18,2) AS subtotal FROM parts)"""
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT project_id, part, feature, value, contribution FROM features")
+def review_features(t):
+    return _features(t).select("project_id", "part", "feature", "value", "contribution")
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT * FROM capped")
+def review_parts(t):
+    return meta.part_scores(_features(t))
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT project_id, least(sum(subtotal), 100)::DECIMAL(18,2) AS score FROM capped GROUP BY project_id")
+def review_scores(t):
+    return meta.total_scores(meta.part_scores(_features(t)))
+
+
+@query(f"WITH {_FEATURES_SQL}, r AS (SELECT project_id, part, feature, contribution, row_number() OVER (PARTITION BY project_id ORDER BY contribution DESC, part, feature) AS rank FROM features WHERE contribution > 0) SELECT * FROM r WHERE rank <= 5")
+def top_positive_factors(t):
+    return meta.top_factors(_features(t)).select("project_id", "part", "feature", "contribution", "rank")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import core, numbers, text
-from quillspark.operators import entities, matching, ordered, retrieval
+from quillspark.operators import entities, matching, meta, ordered, retrieval
 from quillspark.operators.graph import components
 from quillspark.sources import records, sinks
 from quillspark.streaming import events
@@ -127,3 +127,15 @@ def test_streams(spark, tmp_path):
     stream = events.event_stream(spark, str(tmp_path / "in"))
     got = events.run_once(events.windowed_counts(stream), "w", "complete", str(tmp_path / "c1"))
     assert got.agg(F.sum("n")).first()[0] == 300
+
+
+def test_combined_review(spark):
+    rows = [("p", "P1", "x", 40.0, None), ("p", "P2", "y", 16.0, 0.5), ("p", "P2", "z", 4.0, 0.5), ("p", "P3", "v", 0.0, None), ("q", "P9", "w", 3.0, None)]
+    made = spark.createDataFrame(rows, "project_id string, part string, feature string, contribution double, ratio double").withColumn("contribution", F.col("contribution").cast("decimal(12,2)"))
+    got = {(r["project_id"], r["part"]): (float(r["factor"]), float(r["cap"]), float(r["subtotal"])) for r in meta.part_scores(made, F.col("ratio")).collect()}
+    assert got == {("p", "P1"): (1, 35, 35), ("p", "P2"): (0.675, 11.5, 11.5), ("p", "P3"): (1, 25, 0)}
+    assert {r["project_id"]: float(r["score"]) for r in meta.total_scores(meta.part_scores(made, F.col("ratio"))).collect()} == {"p": 46.5}
+    assert [r["feature"] for r in meta.top_factors(made, 2).where("project_id = 'p'").orderBy("rank").collect()] == ["x", "y"]
+    seen = spark.createDataFrame([("p", "P1", 1.0), ("p", "P3", 0.5)], "project_id string, part string, coverage double")
+    assert float(meta.coverage(seen).first()["coverage"]) == 0.375
+    assert meta.part_scores(made.limit(0)).count() == 0
