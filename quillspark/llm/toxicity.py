@@ -15,8 +15,8 @@ from quillspark.llm.common import cut, remainder, small_batches, table
 
 #: Values of the term hash; terms that the model keeps at most, those whose share differs most between the classes; the least such difference, in deviations, and the least number of documents.
 SPACE, TERMS, LEAST_Z, LEAST_DOCS = 1 << 20, 2048, 6.0, 5
-#: Labelled rows that are learned from at most, about: a hash of doc_id chooses them where there are more.
-SAMPLE = 40_000
+#: Labelled rows that terms are chosen from at most, and that the machine is fitted on at most, about: hashes of doc_id choose them where there are more.
+CHOICE, SAMPLE = 400_000, 40_000
 FACTORS, EPOCHS, BATCH, RATE, SHRINK = 8, 40, 256, 0.2, 1e-3
 THRESHOLD = 0.5
 #: Bytes of a stem: inflected and compound insults share their beginning.
@@ -92,7 +92,7 @@ def fit(kept: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Machine:
 
 
 def telling(found: DataFrame) -> np.ndarray:
-    """Term hashes whose share differs most between the classes of found(_y, t), counted over all its rows."""
+    """Term hashes whose share differs most between the classes of found(_y, t), counted over all its rows: at most about CHOICE."""
     totals = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     one, zero = totals.get(1, 0), totals.get(0, 0)
     if not one or not zero:
@@ -105,12 +105,19 @@ def telling(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["term"] for r in ranked.collect()], np.int32))
 
 
+def _some(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """All rows, or about `most` of them if there are more, by a hash of doc_id."""
+    n = rows.count()
+    return rows.where(F.expr(f"pmod(xxhash64(doc_id, {seed}), 1000000000) < {most * 1_000_000_000 // n}")) if n > most else rows
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     Learned from labels of documents whose crc32(doc_id as text) mod 5 isn't 0; a score sees the text alone,
     all of it. Null and empty texts have the score of no term. Labels that are null, or of no document, count for
-    nothing; with one class only every score is the base rate's (a half without labels). Repeated rows come
+    nothing. Up to CHOICE labelled documents are learned from, so their labels go to every executor and no text
+    is shuffled; with one class only every score is the base rate's (a half without labels). Repeated rows come
     back as often as they are there. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -120,11 +127,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([terms(t) for t in texts], dtype=object)
 
-    marks = labels.where(F.col(label).isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    found = cut(docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "_y", of("text").alias("t")))
+    marks = cut(labels.where(F.col(label).isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")))
+    marks = _some(marks, CHOICE, 1)
+    found = cut(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "_y", of("text").alias("t")))
     kept = telling(found)
-    n = found.count()
-    some = found.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {SAMPLE * 1_000_000 // n}")) if n > SAMPLE else found
+    some = _some(found, SAMPLE, 2)
     sent_kept = spark.sparkContext.broadcast(kept)
 
     @F.pandas_udf("array<int>")
