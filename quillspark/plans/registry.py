@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.core import content_id, level, tolerance
 from quillspark.functions.numbers import UNITS, mentions, registry, to_canonical
-from quillspark.operators import entities, matching, meta, ordered, package, retrieval, scoring, validate
+from quillspark.operators import entities, matching, meta, ordered, package, retrieval, scoring, tables, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -392,3 +392,57 @@ def review_scores(t):
 @query(f"WITH {_FEATURES_SQL}, r AS (SELECT project_id, part, feature, contribution, row_number() OVER (PARTITION BY project_id ORDER BY contribution DESC, part, feature) AS rank FROM features WHERE contribution > 0) SELECT * FROM r WHERE rank <= 5")
 def top_positive_factors(t):
     return meta.top_factors(_features(t)).select("project_id", "part", "feature", "contribution", "rank")
+
+
+@query("""
+WITH m AS (SELECT user_id, event_id, value::DECIMAL(18,2) AS v, event_type = 'purchase' AS tot, event_type = 'error' AS dv, event_type IN ('click', 'signup') AS part FROM events),
+g AS (SELECT *, coalesce(sum((tot OR dv)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM m),
+s AS (SELECT user_id, seg, max(event_id) FILTER (WHERE tot) AS total_row, max(v) FILTER (WHERE tot) AS stated, (sum(v) FILTER (WHERE part))::DECIMAL(18,2) AS computed, count(*) FILTER (WHERE part) AS n_parts,
+  count(v) FILTER (WHERE part) AS known, min(v) FILTER (WHERE part) AS lo, max(v) FILTER (WHERE part) AS hi FROM g GROUP BY user_id, seg)
+SELECT user_id, total_row, stated, computed, n_parts, abs(stated - computed)::DECIMAL(18,2) AS abs_diff,
+  abs(stated - computed) * 2 > 0.01 AND (stated = 0 OR computed = 0 OR abs(stated - computed) > 0.02 * greatest(abs(stated), abs(computed))) AS mismatch
+FROM s WHERE n_parts >= 2 AND known = n_parts AND stated IS NOT NULL AND NOT (lo = stated AND hi = stated)""")
+def segment_totals(t):
+    kind = F.col("event_type")
+    return tables.totals_above(t("events"), "user_id", "event_id", F.col("value"), kind == "purchase", kind == "error", ~kind.isin("click", "signup"))
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, trim(unnest(regexp_extract_all(coalesce(text, ''), '[0-9.,]+')), '.,') AS r FROM documents),
+v AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(r, '[0-9]+[.,][0-9]+') AND (NOT regexp_matches(r, '[.,][0-9]{3}$') OR regexp_matches(r, '^0[.,]')) THEN CASE WHEN contains(r, ',') THEN 1 ELSE -1 END ELSE 0 END) AS s,
+  bool_or(regexp_full_match(r, '[0-9]{1,3}(,[0-9]{3}){2,}')) AS c, bool_or(regexp_full_match(r, '[0-9]{1,3}([.][0-9]{3}){2,}')) AS d FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s > 0 THEN 'comma' WHEN s < 0 THEN 'dot' END AS style, coalesce(c, false) AS comma_groups, coalesce(v.d, false) AS dot_groups FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id""")
+def decimal_styles(t):
+    style, comma, dot = tables.numeral_styles(F.col("text"))
+    return t("documents").select("doc_id", style.alias("style"), comma.alias("comma_groups"), dot.alias("dot_groups"))
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type, arg_max(value, event_id) AS twin FROM events WHERE event_id % 3 = 0 AND value IS NOT NULL GROUP BY ALL)
+SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, twin) AS value FROM events e LEFT JOIN k ON e.user_id = k.user_id AND e.event_type = k.event_type""")
+def twin_propagation(t):
+    rows = t("events").select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"))
+    return tables.from_twins(rows, ["user_id", "event_type"], "value", "event_id").select("event_id", "value")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey AS k, o_orderkey % 40 AS a, o_orderkey % 40 + o_orderkey % 9 AS b, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS title FROM orders WHERE o_orderkey % 2 = 0),
+p AS (SELECT o_custkey, o_orderkey, o_orderkey % 41 AS page FROM orders)
+SELECT p.o_custkey, p.o_orderkey, page, arg_max(title, k) FILTER (WHERE title IS NOT NULL) AS title, max(k) AS section_id FROM p LEFT JOIN s ON p.o_custkey = s.o_custkey AND page BETWEEN a AND b GROUP BY ALL""")
+def nearest_heading(t):
+    key = F.col("o_orderkey")
+    sections = t("orders").where("o_orderkey % 2 = 0").select("o_custkey", key.alias("section_id"), key.alias("k"), (key % 40).alias("a"), (key % 40 + key % 9).alias("b"), F.when(key % 7 != 0, F.col("o_orderpriority")).alias("title"))
+    pages = t("orders").select("o_custkey", "o_orderkey", (key % 41).alias("page"))
+    return tables.covering_heading(pages, sections, "o_custkey", "page", "a", "b", "title", "section_id", "k").select("o_custkey", "o_orderkey", "page", "title", "section_id")
+
+
+_PROFILES = [("retail", ["BUILDING", "FURNITURE"]), ("industry", ["MACHINERY", "AUTOMOBILE", "BUILDING"]), ("other", ["HOUSEHOLD"])]
+
+
+@query(f"""
+WITH p AS (SELECT c_nationkey, c_custkey // 20 AS grp, list(DISTINCT c_mktsegment) AS types FROM customer GROUP BY ALL),
+o AS (SELECT *, {", ".join(f"len(list_intersect(types, {triggers})) AS n{k}" for k, (_, triggers) in enumerate(_PROFILES))} FROM p)
+SELECT c_nationkey, grp, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 'retail' WHEN n1 >= n2 THEN 'industry' ELSE 'other' END AS profile FROM o""")
+def package_profile(t):
+    types = t("customer").groupBy("c_nationkey", F.expr("c_custkey div 20").alias("grp")).agg(F.collect_set("c_mktsegment").alias("types"))
+    return types.select("c_nationkey", "grp", tables.profile(F.col("types"), _PROFILES).alias("profile"))

@@ -139,3 +139,24 @@ def test_combined_review(spark):
     seen = spark.createDataFrame([("p", "P1", 1.0), ("p", "P3", 0.5)], "project_id string, part string, coverage double")
     assert float(meta.coverage(seen).first()["coverage"]) == 0.375
     assert meta.part_scores(made.limit(0)).count() == 0
+
+
+def test_tables_and_numerals(spark):
+    from quillspark.operators import tables
+
+    rows = [(1, 1, 2.0, "row"), (1, 2, 3.0, "row"), (1, 3, 6.0, "total"), (1, 4, 9.0, "row"), (1, 5, None, "divider"), (1, 6, 1.0, "row"), (1, 7, None, "row"), (1, 8, 1.0, "total"), (2, 1, 4.0, "row"), (2, 2, 4.0, "row"), (2, 3, 4.0, "total"), (None, 1, 1.0, None)]
+    cells = spark.createDataFrame(rows, "t long, r long, v double, kind string")
+    kind = F.col("kind")
+    got = tables.totals_above(cells, "t", "r", F.col("v"), kind == "total", kind == "divider", kind == "subset").collect()
+    assert [(r["t"], r["total_row"], float(r["abs_diff"]), r["mismatch"]) for r in got] == [(1, 3, 1.0, True)]
+    texts = spark.createDataFrame([("1,5 and 2,25 and 3.5",), ("1,234",), ("0,123 1.234.567",), ("",), (None,)], "text string")
+    assert [tuple(r) for r in texts.select(*tables.numeral_styles(F.col("text"))).collect()] == [("comma", False, False), (None, False, False), ("comma", False, True), (None, False, False), (None, False, False)]
+    raw = spark.createDataFrame([("1,234", "comma"), ("1,234", "dot"), ("1.234", None)], "raw string, style string")
+    assert [None if r[0] is None else float(r[0]) for r in raw.select(tables.settle_numeral(F.col("raw"), F.col("style"))).collect()] == [1.234, 1234.0, None]
+    pairs = [("hearings", "hearing", True), ("zone", "zona", True), ("control", "contract", False), ("cat", "cats", False), ("", "", True), ("same", "same", True)]
+    words = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    assert [r[0] for r in words.select(tables.token_matches(F.col("a"), F.col("b"))).collect()] == [x for *_, x in pairs]
+    concepts = spark.createDataFrame([("public hearing", "the publics hearings were held"), ("", "x"), ("water", None)], "c string, t string")
+    assert [r[0] for r in concepts.select(tables.concept_in(F.col("c"), F.col("t"))).collect()] == [True, False, False]
+    grids = spark.createDataFrame([(1, 2, [["a", None]]), (2, 2, [["a"]]), (1, 1, [[" "]]), (None, 1, None)], "r int, c int, cells array<array<string>>")
+    assert [r[0] for r in grids.select(tables.table_errors(F.col("r"), F.col("c"), F.col("cells"))).collect()] == [[], ["row_count", "row_width"], ["blank"], ["malformed"]]
