@@ -1,4 +1,4 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup, source mix, encoding."""
+"""From raw documents to token ids: quality rules, line dedup, near-dedup by shingles and by fingerprints, source mix, encoding."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from quillspark.llm.lines import strip_lines
 from quillspark.llm.mixing import apply_mix
 from quillspark.llm.pieces import encode
 from quillspark.llm.rules import keep_good
+from quillspark.llm.shingles import keep_distinct
 from quillspark.llm.simhash import keep_first
 
 
@@ -23,6 +24,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return strip_lines(docs).drop("_lines").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are similar at 0.8 and more: the one with the smallest doc_id."""
+    return keep_distinct(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
     return keep_first(docs)
@@ -38,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, None, "doc_id", "lang", "source").select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("tokens", tokens)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("shingle_dedup", shingle_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("tokens", tokens)]
 
 #: The mix's Newton iterations and the tokenizer have no SQL: tests compare run() with brute force.
 ORACLE_SQL = None

@@ -255,3 +255,43 @@ def test_pipeline_stages(spark, real):
             assert {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()} == want
         elif name == "tokens":
             assert docs.count() == before.count() and sum(r["n_tokens"] for r in docs.collect()) > 0
+
+
+def plain_shingles(t):
+    w = (t or "").split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("pairs", [8, 0])  # compared in full; merged around members first
+def test_pipeline_drops_near_copies(spark, monkeypatch, pairs):
+    import corpus_pipeline as p
+    from quillspark.llm import shingles
+
+    monkeypatch.setattr(shingles, "PAIRS", pairs)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for k in range(30):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        rows.append((100 * k, " ".join(base)))
+        for j in range(1, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(1, max(1, len(base) // 25))):
+                copy[at] = word()
+            rows.append((100 * k + j, " ".join(copy)))
+    rows += [(9001, None), (9002, " "), (9003, "a b"), (9004, "a b"), (9005, "a c")]
+    sets = {d: plain_shingles(t) for d, t in rows}
+    label = {d: d for d in sets}
+    alike = {d: [e for e in sets if (not sets[d] and not sets[e]) or len(sets[d] & sets[e]) * 5 >= len(sets[d] | sets[e]) * 4 > 0] for d in sets}
+    for _ in range(10):
+        label = {d: min(label[e] for e in alike[d]) for d in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.keep_distinct(docs).collect()) == sorted(set(label.values()))
+    if pairs:
+        for name, stage in p.STAGES:
+            if name in ("shingle_dedup", "near_dedup"):
+                docs = p.cut(stage(spark, docs, SF))
+        left = {r["doc_id"] for r in docs.collect()}
+        assert left and not any(e in left for d in left for e in alike[d] if e != d)
+    between = [len(sets[100 * k] & sets[100 * k + j]) / len(sets[100 * k] | sets[100 * k + j]) for k in range(30) for j in range(1, 8)]
+    assert sum(0.8 <= x <= 0.95 for x in between) > 50
