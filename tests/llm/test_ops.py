@@ -295,3 +295,33 @@ def test_pipeline_drops_near_copies(spark, monkeypatch, pairs):
         assert left and not any(e in left for d in left for e in alike[d] if e != d)
     between = [len(sets[100 * k] & sets[100 * k + j]) / len(sets[100 * k] | sets[100 * k + j]) for k in range(30) for j in range(1, 8)]
     assert sum(0.8 <= x <= 0.95 for x in between) > 50
+
+
+def plain_components(ids, alike):
+    label = {d: d for d in ids}
+    for _ in range(20):
+        label = {d: min([label[d], *(label[e] for e in ids if alike(d, e))]) for d in ids}
+    return {d for d in ids if label[d] == d}
+
+
+def test_run_by_brute_force(spark):
+    """Rules and lines by SQL in DuckDB, both dedup stages and the tokens in plain Python; the mix's copies are mix()'s, which has its own test."""
+    import corpus_pipeline as p
+    import sentencepiece
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    con.execute(f"CREATE TABLE good AS SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({rules.SQL}) WHERE kept)")
+    gone = set(con.execute(f"WITH {lines.GONE_SQL.format(docs='good')} SELECT source, k FROM gone").fetchall())
+    bare = " \t\n\v\f\r"
+    docs = {d: ("\n".join(x for x in t.split("\n") if (s, x.strip(bare)) not in gone), g, s) for d, t, g, s in con.execute("SELECT doc_id, text, lang, source FROM good").fetchall()}
+    sets = {d: plain_shingles("".join(c.lower() if "A" <= c <= "Z" else c for c in r[0])) for d, r in docs.items()}
+    docs = {d: docs[d] for d in plain_components(docs, lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4)}
+    fp = {d: plain_fingerprint(r[0]) for d, r in docs.items()}
+    docs = {d: docs[d] for d in plain_components(docs, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)}
+    rows = spark.createDataFrame([(d, *r, len(r[0])) for d, r in docs.items()], SCHEMA)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = sorted((r["doc_id"], docs[r["doc_id"]][1], docs[r["doc_id"]][2], model.encode(docs[r["doc_id"]][0])) for r in mixing.mix(rows).collect() for _ in range(r["copies"]))
+    got = p.run(spark, SF).collect()
+    assert sorted((r["doc_id"], r["lang"], r["source"], r["ids"]) for r in got) == want
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
