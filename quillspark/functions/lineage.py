@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[str, str] = {}
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that spark.checkpoint.dir names; in a temporary one only where nothing is named."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; the warehouse's, which is shared too, only where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the context may be gone at exit; the folder is then the cluster's to clean
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read again.
+
+    Later jobs start from the files: a lost executor costs no recomputation, and Spark knows the size.
+    The files go when the process ends.
+    """
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    if base not in _ROOTS:
+        _ROOTS[base] = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+        atexit.register(_sweep, spark, _ROOTS[base])
+    path = f"{_ROOTS[base]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

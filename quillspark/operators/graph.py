@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.lineage import checkpointed
+from quillspark.functions.lineage import cut
+
+#: A node is a hub if it has over a HUB-th of the edges: there can be HUB of them at most, or twice that over both ends.
+HUB = 64
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], int(row["h"] or 0)
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges(a, b) with m, the least b of an a. A hub's edges stay where they are: its one row goes to all tasks."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") * HUB > total).select("a", "m"))  # 2 * HUB rows at most
+    rest = edges.join(hubs.select("a"), "a", "left_anti").join(low.where(F.col("n") * HUB <= total).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge (a, b), root being the smallest node that it reaches. Loops and null ends count for nothing."""
-    pairs = checkpointed(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
-    state = lambda: tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = state()
+    """(node, root) for every node of an edge, root being the smallest node that it reaches.
+
+    edges: longs a, b in any order; null ends, loops and repeated rows count for nothing. A round is two
+    aggregations and two joins on a node; what a hub gathers is one minimum, never a list. Every round is
+    written to the shared folder. No edges give no rows.
+    """
+    pairs = cut(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
+    before = _state(pairs)
     while before[0]:
         both = pairs.unionByName(pairs.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.join(low, "a").where("b > a").selectExpr("b as a", "m as b").distinct()
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        pairs = checkpointed(small.selectExpr("a", "m as b").unionByName(small.selectExpr("b as a", "m as b")).where("a != b").distinct())
-        after = state()
+        large = _with_least(both, before[0]).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct()
+        small = _with_least(large, before[0])
+        small = small.selectExpr("a", "m as b").unionByName(small.selectExpr("b as a", "m as b")).where("a != b").distinct()
+        pairs = cut(small)
+        after = _state(pairs)
         if after == before:
             break
         before = after
