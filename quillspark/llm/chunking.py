@@ -10,6 +10,8 @@ import xxhash
 
 #: One 32-bit value for each byte, by rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=7) & 0xFFFFFFFF for b in range(256)], np.uint32)
+#: Bytes that a cut hangs on.
+WINDOW = 16
 #: Bytes hashed at a time, which bounds a worker's memory on a very long text.
 BLOCK = 1 << 22
 
@@ -24,9 +26,13 @@ class Sizes:
 
     @property
     def masks(self) -> tuple[int, int]:
-        """The two tests' masks: top bits of the hash, one more and one fewer than a mean of normal bytes asks for."""
+        """The two tests' masks, one bit more and one fewer than a mean of normal bytes asks for.
+
+        They take the bits up to the WINDOW-th: a byte is shifted beyond them after so many more, so a cut hangs on
+        WINDOW bytes only, and two texts with a passage in common cut it alike from its WINDOW-th byte on.
+        """
         bits = max(2, round(np.log2(self.normal)))
-        return tuple(((1 << b) - 1) << (32 - b) for b in (bits + 1, bits - 1))  # type: ignore[return-value]
+        return tuple(((1 << b) - 1) << (WINDOW - b) for b in (bits + 1, bits - 1))  # type: ignore[return-value]
 
 
 def _gear(data: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.chunking import Sizes, cuts, digests
-from quillspark.llm.common import cut, small_batches, table
+from quillspark.llm.common import small_batches, table
 
 SIZES = Sizes(24, 48, 144)
 #: Rows that lie between two cuts of the order, about, and the most cuts: what the driver holds of the order has a bound, and a larger part only streams longer.
@@ -93,4 +93,5 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its edited text and the next document (see neighbours)."""
     return neighbours(table(spark, sf_dir, "documents"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -12,74 +13,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, table
+from quillspark.llm.common import cut, join_hot, most_frequent, quoted, small_batches, table
 
-#: A worker's table is emptied when it holds more chunks than this (a chunk is then segmented again when it comes again), and texts are taken in blocks of about so many characters: both bound memory.
-TABLE_CHUNKS, BLOCK_CHARS = 1 << 18, 1 << 20
+#: Bytes of chunks and ids (with what a dictionary needs for them) that every worker gets at most; the chunks beyond are joined.
+TABLE_BYTES = 48 << 20
+#: Distinct chunks, and their characters, that a worker counts before it hands them on.
+HELD, HELD_CHARS = 1 << 18, 1 << 24
 MARK = "▁"
 RUN = re.compile(" +[^ ]*")
 
 
-class ChunkTable:
-    """Distinct chunks of the texts seen so far, each segmented once.
+def chunks(text: str | None) -> list[str]:
+    """Keys of a text's chunks, in order: runs of whitespace marks with what follows up to the next mark, each without its first mark (the model puts one before any text)."""
+    plain = (text or "").replace(MARK, " ")
+    if "  " in plain or plain[:1] == " " or plain[-1:] == " ":
+        return [x[1:] for x in RUN.findall(f" {plain}")]
+    return plain.split(" ") if plain else []
 
-    A chunk is a run of whitespace marks with what follows up to the next mark. No piece of the model has a
-    mark after another character, so no merge crosses the start of a chunk, and the ids of a text are the
-    ids of its chunks in order.
+
+class Segmenter:
+    """The library's model, once it is clear that texts can be cut at whitespace marks.
+
+    No piece of the model has a mark after another character, so no merge crosses the start of a chunk, and the
+    ids of a text are the ids of its chunks in order.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece of this model crosses a whitespace mark: its texts can't be cut there")
-        alone = self.model.encode("x ")[-1:]  # a mark with nothing behind it: by itself the empty text, which has no ids
-        if self.model.id_to_piece(alone[0]) != MARK:
+        if self.model.decode(self.model.encode("ﬁ  x² ")) != "ﬁ  x² ":
+            raise ValueError("this model changes texts before it encodes them")
+        self.alone = self.model.encode("x ")[-1:]  # a mark with nothing behind it: by itself the empty text, which has no ids
+        if self.model.id_to_piece(self.alone[0]) != MARK:
             raise ValueError("this model has no piece for a single whitespace mark")
-        self.alone = np.array(alone, np.int32).tobytes()
-        self.ids: dict[str, bytes] = {"": self.alone}  # int32 ids of a chunk
-        self.odd: dict[str, str] = {}  # decoded text of the chunks that don't decode to themselves
-
-    def chunks(self, text: str) -> list[str]:
-        """Keys of the chunks, each without its first mark (the model puts one before any text)."""
-        plain = text.replace(MARK, " ")
-        if "  " in plain or plain[:1] == " " or plain[-1:] == " ":
-            return [x[1:] for x in RUN.findall(f" {plain}")]
-        return plain.split(" ") if plain else []
-
-    def learn(self, keys: set[str]) -> None:
-        fresh = list(keys - self.ids.keys())
-        if not fresh:
-            return
-        found = self.model.encode(fresh, num_threads=1)
-        flat, ends = np.fromiter(chain.from_iterable(found), np.int32), np.cumsum([4 * len(x) for x in found]).tolist()
-        raw = flat.tobytes()
-        self.ids.update(zip(fresh, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        self.odd.update((k, x) for k, x in zip(fresh, self.model.decode(found), strict=True) if k != x)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Ids and decoded text of each text."""
-        at = 0
-        while at < len(texts):
-            to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to]) <= BLOCK_CHARS):
-                chars, to = chars + len(texts[to]), to + 1
-            if len(self.ids) > TABLE_CHUNKS:
-                self.ids, self.odd = {"": self.alone}, {}
-            keys = [self.chunks(t) for t in texts[at:to]]
-            self.learn(set(chain.from_iterable(keys)))
-            for own in keys:
-                decoded = own if self.odd.keys().isdisjoint(own) else [self.odd.get(k, k) for k in own]
-                yield np.frombuffer(b"".join(map(self.ids.__getitem__, own)), np.int32), " ".join(decoded)
-            at = to
+
+    def __call__(self, keys: list[str]) -> pd.DataFrame:
+        """chunk, its ids and its decoded text, for each key."""
+        ids = [x if key else self.alone for key, x in zip(keys, self.model.encode(keys, num_threads=1), strict=True)]
+        return pd.DataFrame({"chunk": keys, "ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "plain": self.model.decode(ids) if keys else []})
 
 
 @lru_cache(maxsize=4)
-def chunk_table(path: str) -> ChunkTable:
-    """One table for each worker process and model."""
-    return ChunkTable(path)
+def segmenter(path: str | None) -> Segmenter:
+    """One for each worker process and model."""
+    return Segmenter(path)
 
 
 def model_path() -> str:
@@ -88,22 +69,87 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, *keep: str) -> DataFrame:
+def distinct_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, n): every distinct chunk of the texts and how often it occurs."""
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[str] = Counter()
+        chars = 0
+        for batch in batches:
+            for text in batch["text"]:
+                held.update(chunks(text))
+                chars += len(text or "")
+                if len(held) > HELD or chars > HELD_CHARS:
+                    yield pd.DataFrame({"chunk": list(held), "n": list(held.values())})
+                    held, chars = Counter(), 0
+        if held:
+            yield pd.DataFrame({"chunk": list(held), "n": list(held.values())})
+
+    return docs.select("text").mapInPandas(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def segmented(found: DataFrame, segment: Callable[[list[str]], pd.DataFrame]) -> DataFrame:
+    """(chunk, ids, plain, n) for each row of found(chunk, n), written to the shared folder: each chunk is segmented once. plain is its decoded text."""
+
+    @F.pandas_udf("ids array<int>, plain string")
+    def of(keys: pd.Series) -> pd.DataFrame:
+        return segment(keys.tolist())[["ids", "plain"]]
+
+    # the exchange by chunk lies below: a chunk reaches one task once
+    return cut(found.select("chunk", "n", of("chunk").alias("s")).select("chunk", "s.ids", "s.plain", "n"))
+
+
+def encode(docs: DataFrame, path: str | None = None, *keep: str, most: int = TABLE_BYTES) -> DataFrame:
     """The columns named in keep (doc_id if none), then ids array<int> and decoded string, for each row of docs.
 
-    path: a model file that every executor can open; by default the installed one. Null and empty texts
-    have no ids and an empty decoded text. Repeated rows come back as often as they are there.
+    path: a model file that every executor can open; by default the installed one. Every distinct chunk is segmented
+    once, and texts are put together from the table. Every worker has the most frequent chunks, up to `most` bytes; what a
+    larger table has beyond meets the texts' chunks by a join and goes to its position. Null and empty texts
+    have no ids and an empty decoded text. Repeated rows come back as often as they are there. No rows give no rows.
     """
-    small_batches(docs.sparkSession)
-    path = path or model_path()
+    spark = docs.sparkSession
+    small_batches(spark)
+    pieces = segmented(distinct_chunks(docs), lambda keys: segmenter(path)(keys))
+    near, far = most_frequent(pieces.withColumn("bytes", F.octet_length("chunk") + F.octet_length("plain") + 4 * F.size("ids") + 200), F.col("bytes"), most)
+    got = near.select("chunk", "ids", F.when(F.col("plain") != F.col("chunk"), F.col("plain")).alias("plain")).toPandas()
+    sent = spark.sparkContext.broadcast((dict(zip(got["chunk"], (np.asarray(x, np.int32).tobytes() for x in got["ids"]), strict=True)), {k: p for k, p in zip(got["chunk"], got["plain"], strict=True) if p is not None}))
+
+    def joined(text: str | None, more: dict[str, tuple[bytes, str]]) -> tuple[np.ndarray, str]:
+        ids, odd = sent.value
+        own = chunks(text)
+        if not more:
+            return np.frombuffer(b"".join(map(ids.__getitem__, own)), np.int32), " ".join(own if odd.keys().isdisjoint(own) else [odd.get(k, k) for k in own])
+        return np.frombuffer(b"".join([more[k][0] if k in more else ids[k] for k in own]), np.int32), " ".join([more[k][1] if k in more else odd.get(k, k) for k in own])
+
+    def framed(pairs: list[tuple[np.ndarray, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"ids": pd.Series([i for i, _ in pairs], dtype=object), "decoded": pd.Series([d for _, d in pairs], dtype=object)})
+
+    kept = [F.col(quoted(c)) for c in keep or ("doc_id",)]
+    if far is None:
+
+        @F.pandas_udf("ids array<int>, decoded string")
+        def of(texts: pd.Series) -> pd.DataFrame:
+            return framed([joined(t, {}) for t in texts])
+
+        return docs.select(*kept, of(F.col("text")).alias("_pieces")).select(*kept, "_pieces.ids", "_pieces.decoded")
+
+    @F.pandas_udf("array<string>")
+    def lacking(texts: pd.Series) -> pd.Series:
+        ids = sent.value[0]
+        return pd.Series([sorted({k for k in chunks(t) if k not in ids}) for t in texts], dtype=object)
 
     @F.pandas_udf("ids array<int>, decoded string")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        ids, decoded = zip(*chunk_table(path).encode([t or "" for t in texts]), strict=True) if len(texts) else ((), ())
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+    def of_both(texts: pd.Series, more: pd.Series) -> pd.DataFrame:
+        return framed([joined(t, {} if m is None else {c["chunk"]: (np.asarray(c["ids"], np.int32).tobytes(), c["plain"]) for c in m}) for t, m in zip(texts, more, strict=True)])
 
-    kept = [F.col(f"`{c}`") for c in keep or ("doc_id",)]
-    return docs.select(*kept, of(F.col("text")).alias("_pieces")).select(*kept, "_pieces.ids", "_pieces.decoded")
+    name = F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))  # of a text: equal texts lack the same
+    wanted = docs.select(name.alias("_t"), F.explode(lacking("text")).alias("chunk")).distinct()
+    # a text's own chunks, each once
+    filled = wanted.join(far.select("chunk", "ids", "plain"), "chunk").groupBy("_t").agg(F.collect_list(F.struct("chunk", "ids", "plain")).alias("_more"))
+    rows = docs.select(F.struct(*kept).alias("_keep"), F.col("text").alias("_text"), name.alias("_t"))
+    both = join_hot(rows, cut(filled), "_t", "left").select("_keep", of_both("_text", "_more").alias("_pieces"))
+    return both.select("_keep.*", "_pieces.ids", "_pieces.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -116,4 +162,5 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text, as digests. A row of docs is a row of the result."""
     return digests(encode(table(spark, sf_dir, "documents")))

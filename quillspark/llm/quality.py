@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, remainder, small_batches, table
+from quillspark.llm.common import cut, remainder, small_batches, some, table
 
 NAMES = ("words", "word_bytes", "symbols", "digits", "capitals", "shouts", "stops", "distinct", "stutter", "lines", "line_words", "dup_lines", "beyond_ascii", "pipes", "longest", "space")
 #: Labelled rows that are learned from at most, about: a hash of doc_id chooses them where there are more.
@@ -123,11 +123,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def train(rows: DataFrame, label: str) -> Additive:
-    """Fit on rows(doc_id, x array<double>, and the label column): all of them up to SAMPLE, beyond that about SAMPLE by hash."""
-    n = rows.count()
-    if n > SAMPLE:
-        rows = rows.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {SAMPLE * 1_000_000 // n}"))
-    got = rows.select("x", label).toPandas()
+    """Fit on rows(doc_id, x array<double>, and the label column), one a doc_id and in its order, so that reruns agree."""
+    got = rows.select("doc_id", "x", label).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), -1) if len(got) else np.zeros((0, len(NAMES)))
     return fit(x, got[label].to_numpy(float))
 
@@ -137,8 +134,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
     Learned from labels of documents whose crc32(doc_id as text) mod 5 isn't 0; a score sees the text alone.
     Null and empty texts have the score of all-zero features. Labels that are null, or of no document, count
-    for nothing; without any label, or with one value only, every score is the base rate's (a half without any). Repeated
-    rows come back as often as they are there. No rows give no rows.
+    for nothing; of rows that repeat a doc_id one is learned from. Without any label, or with one value only, every
+    score is the base rate's (a half without any). Repeated rows come back as often as they are there. No rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -148,8 +145,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
         return pd.Series([features(t) for t in texts], dtype=object)
 
     measured = cut(docs.select("doc_id", of(F.col("text")).alias("x")))
-    marks = labels.where(F.col(label).isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    sent = spark.sparkContext.broadcast(train(measured.join(marks, "doc_id"), "_y"))
+    marks = cut(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("_y")))
+    learned = measured.join(F.broadcast(some(marks, SAMPLE, "doc_id")), "doc_id")  # SAMPLE rows, about
+    learned = learned.groupBy("doc_id").agg(F.min("_y").alias("_y"), F.min_by("x", F.xxhash64("x")).alias("x"))
+    sent = spark.sparkContext.broadcast(train(learned, "_y"))
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
@@ -160,4 +159,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document (see classify)."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -16,19 +16,15 @@ SPREAD, MIN_DOCS = 3, 50
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the base counts of the whole text in a struct _base. A null text has no words.
 
-    A repeated window: each 3-word window is hashed to 64 bits, packed with its position and sorted; equal
-    neighbours, verified on the whole hash, are found twice or more. Work is n log n in a text's words.
+    A repeated window: the 64-bit hashes of the 3-word windows are sorted with their positions; those that a
+    neighbour equals are found twice or more. Work is n log n in a text's words.
     """
     text = F.coalesce("text", F.lit(""))
     split = docs.withColumn("_w", words(F.col("text"))).withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    split = split.withColumn("_n", F.size("_w")).withColumn("_b", F.length(F.bin(F.col("_n").cast("long"))))
-    packed = "CASE WHEN _n < 4 THEN array() ELSE sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | cast(i as bigint))) END"
-    split = split.withColumn("_s", F.expr(f"cast({packed} as array<bigint>)"))
-    whole = "xxhash64(get(_w, {p}), get(_w, {p} + 1), get(_w, {p} + 2))"
-    at = "cast({x} & (shiftleft(1L, _b) - 1) as int)"
-    same = "(shiftright(x, _b) = shiftright(get(_s, {k}), _b) and {a} = {c})"
-    same = [same.format(k=k, a=whole.format(p=at.format(x="x")), c=whole.format(p=at.format(x=f"get(_s, {k})"))) for k in ("k + 1", "k - 1")]
-    found = f"sort_array(transform(filter(_s, (x, k) -> coalesce({same[0]}, false) or (k > 0 and coalesce({same[1]}, false))), x -> {at.format(x='x')}))"
+    split = split.withColumn("_n", F.size("_w"))
+    windows = "CASE WHEN _n < 4 THEN array() ELSE sort_array(transform(sequence(0, _n - 3), i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) as h, i as p))) END"
+    split = split.withColumn("_s", F.expr(f"cast({windows} as array<struct<h:bigint,p:int>>)"))
+    found = "array_sort(transform(filter(_s, (x, k) -> coalesce(x.h = get(_s, k + 1).h, false) or (k > 0 and x.h = get(_s, k - 1).h)), x -> x.p))"
     split = split.withColumn("_p", F.expr(found))
     covered = "cast(aggregate(transform(_p, (x, k) -> least(3, coalesce(get(_p, k + 1) - x, 3))), 0L, (a, x) -> a + x) as bigint)"
     joined = F.array_join("_w", "")
@@ -40,7 +36,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.expr(covered).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
     )
-    return split.withColumn("_base", base).drop("_w", "_l", "_n", "_b", "_s", "_p")
+    return split.withColumn("_base", base).drop("_w", "_l", "_n", "_s", "_p")
 
 
 def rated(docs: DataFrame) -> DataFrame:
@@ -55,6 +51,16 @@ def rated(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("*", f"struct({', '.join(rates)}) as _rates", failed)
 
 
+def _quantile(counts: list[tuple[int, int]], quarters: int) -> int | None:
+    """The least value that so many quarters of the counted lie at or below; null of nothing."""
+    total, so_far = sum(n for _, n in counts), 0
+    for v, n in counts:
+        so_far += n
+        if so_far * 4 >= total * quarters:
+            return v
+    return None
+
+
 def thresholds(rates: DataFrame) -> DataFrame:
     """One row for each (lang, source): a lowest and highest value allowed for each rate.
 
@@ -69,17 +75,20 @@ def thresholds(rates: DataFrame) -> DataFrame:
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         by = ", ".join([*keys, "rate"])
         merged = cells.groupBy(*keys, "rate", "v").agg(F.sum("n").alias("n"))
+        if not keys:  # of the corpus: at most 1001 counts for each rate
+            counts = {n: [] for n in names}
+            for r in merged.collect():
+                counts[r["rate"]].append((r["v"], r["n"]))
+            for n in names:
+                lo, hi = (_quantile(sorted(counts[n]), share) for share in (1, 3))
+                out = out.withColumn(f"_{n}{level}", F.struct(F.lit(lo).cast("int").alias("lo"), F.lit(hi).cast("int").alias("hi")))
+            continue
+        by = ", ".join([*keys, "rate"])
         ranked = merged.withColumn("cum", F.expr(f"sum(n) over (partition by {by} order by v)")).withColumn("total", F.expr(f"sum(n) over (partition by {by})"))
         quart = ranked.groupBy(*keys, "rate").agg(F.min(F.expr("if(cum * 4 >= total, v, null)")).alias("lo"), F.min(F.expr("if(cum * 4 >= total * 3, v, null)")).alias("hi"), F.max("total").alias("total"))
         wide = quart.groupBy(*keys).agg(F.max("total").alias(f"_t{level}"), *[F.max(F.when(F.col("rate") == n, F.struct("lo", "hi"))).alias(f"_{n}{level}") for n in names])
-        if keys:
-            match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-            out = out.join(wide.withColumnsRenamed({k: f"_k_{k}" for k in keys}), match).drop(*[f"_k_{k}" for k in keys])
-        else:
-            whole = wide.first()  # of the corpus: two values for each rate
-            for n in names:
-                lo, hi = (whole and whole[f"_{n}{level}"]) or (None, None)
-                out = out.withColumn(f"_{n}{level}", F.struct(F.lit(lo).cast("int").alias("lo"), F.lit(hi).cast("int").alias("hi")))
+        match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        out = out.join(wide.withColumnsRenamed({k: f"_k_{k}" for k in keys}), match).drop(*[f"_k_{k}" for k in keys])
     level = f"case when _t0 >= {MIN_DOCS} then 0 when _t1 >= {MIN_DOCS} then 1 else 2 end"
     out = out.withColumn("_level", F.expr(level))
     for name, above, below in RATES:
@@ -104,12 +113,13 @@ def judged(rates: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that fail. It needs text, lang and source; other columns pass through."""
+    """docs without the rows that fail. It needs text, lang and source; other columns pass through. See judged() for nulls, repeats and empty tables."""
     needed = ("text", "lang", "source")
     return unpacked(judged(cut(rated(measured(packed(docs, *needed))))).where("_kept"), docs.columns, needed)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each row of documents (see measured and judged)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counts = [f"_base.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged(cut(rated(measured(docs)).drop("text"))).select("doc_id", *counts, F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))

@@ -8,8 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, small_batches
-from quillspark.llm.graph import components
+from quillspark.llm.common import cut, join_hot, small_batches
+from quillspark.llm.simhash import keep_one
+from quillspark.operators.graph import components
 
 #: Words of a shingle; near copies share 4 of 5 shingles (Jaccard).
 WIDTH, SHARED, OF = 5, 4, 5
@@ -52,14 +53,14 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, bands) for each row: the set's name, its size and its bands."""
+    """(doc_id, text_hash, fp, n, bands) for each row: the set's name, its size and its bands."""
 
     @F.pandas_udf("fp long, n int, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame([(set_id(s), len(s), bands(s)) for s in sets], columns=["fp", "n", "bands"])
 
-    return docs.select("doc_id", of(F.col("text")).alias("s")).select("doc_id", "s.fp", "s.n", "s.bands")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), of(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.fp", "s.n", "s.bands")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for each row of docs with a doc_id: the smallest doc_id that links of similarity 0.8 and more reach.
+    """(doc_id, text_hash, class, component_id) for each row of docs with a doc_id: the smallest doc_id that links of similarity 0.8 and more reach.
 
     Null and blank texts link to each other. Texts are read twice and only those that share a band go on.
     """
@@ -133,14 +134,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     roots = components(links(rows.select("key", "fp", "n"), sets))
     classed = firsts.select("fp", "first").join(roots, firsts.fp == roots.node, "left").selectExpr("fp", "first", "coalesce(root, fp) as class")
     lowest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
-    return own.select("doc_id", "fp").join(classed.join(lowest, "class").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    found = join_hot(classed, lowest, "class").select("fp", "class", "component_id")
+    return join_hot(own.select("doc_id", "text_hash", "fp"), cut(found), "fp").select("doc_id", "text_hash", "class", "component_id")
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """docs without near copies: the row with the smallest doc_id of each component stays.
-
-    Of rows that repeat that doc_id one stays; rows with a null doc_id stay, as nothing names them.
-    """
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs without near copies of similarity 0.8 and more: see keep_one for what stays of each component. No rows give no rows."""
+    return keep_one(docs, near_copies(docs))

@@ -8,9 +8,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, small_batches, table
-from quillspark.llm.graph import components
+from quillspark.llm.common import cut, join_hot, packed, small_batches, table, unpacked
+from quillspark.operators.graph import components
 
+#: Pairs of a probe and a fingerprint that a segment's value may make; beyond, the other half's segments must meet as well.
+CROWD = 1 << 16
 #: Shingles hashed at a time, which bounds a worker's memory on a very long text.
 BLOCK = 1 << 16
 
@@ -30,14 +32,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row."""
+    """(doc_id, text_hash long, fp long) for each row."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of(F.col("text")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), of(F.col("text")).alias("fp"))
 
 
 def _flips(bits: int) -> str:
@@ -63,13 +65,30 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     classed = cut(fps.join(merged, fps.fp == merged.node, "left").selectExpr("fp", "coalesce(root, fp) as class"))
     segments = classed.selectExpr("fp", "class", "explode(array(named_struct('s', 0L, 'v', fp & 4294967295L), named_struct('s', 4294967296L, 'v', shiftrightunsigned(fp, 32)))) as seg")
     probes = segments.select("fp", "class", "seg", F.explode(F.expr(_flips(32))).alias("m")).selectExpr("fp", "class", "seg.s + (seg.v ^ m) as key", "m = 0 as home")
-    mixed = probes.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    live = cut(probes.join(mixed, "key", "left_semi"))
-    homes = live.where("home").selectExpr("key", "fp as b", "class as class_b")
-    far = live.join(homes, "key").where(f"class != class_b and bit_count(fp ^ b) <= {distance}").selectExpr("greatest(fp, b) as a", "least(fp, b) as b")
+    met = probes.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.count_if("home").alias("homes")).where("lo != hi and homes > 0")
+    live = cut(probes.join(met.select("key", (F.col("n") * F.col("homes") > CROWD).alias("crowded")), "key"))
+    few, many = live.where("not crowded"), live.where("crowded")
+    pairs = few.join(few.where("home").selectExpr("key", "fp as b", "class as class_b"), "key").select("fp", "class", "b", "class_b")
+    # the other half differs in 3 bits at most, so one of its two segments in one at most
+    halves = "if(key < 4294967296L, shiftrightunsigned(fp, 32), fp & 4294967295L) as other"
+    finer = many.selectExpr("key", "fp", "class", "home", halves).selectExpr("key", "fp", "class", "home", "explode(array(named_struct('s', 0L, 'v', other & 65535L), named_struct('s', 65536L, 'v', shiftrightunsigned(other, 16)))) as seg")
+    sought = finer.select("key", "fp", "class", "seg", F.explode(F.expr(_flips(16))).alias("m")).selectExpr("key", "seg.s + (seg.v ^ m) as sub", "fp", "class")
+    pairs = pairs.unionByName(sought.join(finer.where("home").selectExpr("key", "seg.s + seg.v as sub", "fp as b", "class as class_b"), ["key", "sub"]).select("fp", "class", "b", "class_b"))
+    far = pairs.where(f"class != class_b and bit_count(fp ^ b) <= {distance}").selectExpr("greatest(fp, b) as a", "least(fp, b) as b")
     return far.unionByName(merged.where("node != root").selectExpr("node as a", "root as b")).distinct()
 
 
+def _classed(docs: DataFrame, width: int, distance: int) -> DataFrame:
+    """(doc_id, fp, text_hash, class, component_id) for each row of docs."""
+    own = cut(fingerprints(docs, width))
+    firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(firsts.select("fp"), distance))
+    classed = firsts.join(roots, firsts.fp == roots.node, "left").selectExpr("fp", "first", "coalesce(root, fp) as class")
+    lowest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
+    found = join_hot(classed, lowest, "class").select("fp", "class", "component_id")
+    return join_hot(own, cut(found), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id long, text string; more is ignored).
 
@@ -77,24 +96,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     they are there. A null doc_id is never a component's smallest; a component of none but null ids has a
     null component_id. No rows give no rows.
     """
-    own = cut(fingerprints(docs, width))
-    firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), distance))
-    classed = firsts.join(roots, firsts.fp == roots.node, "left").selectExpr("fp", "first", "coalesce(root, fp) as class")
-    lowest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
-    found = classed.join(lowest, "class").select("fp", "component_id")
-    return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _classed(docs, width, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near copies: the row with the smallest doc_id of each component stays.
+def keep_one(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """docs with one row of each class of classed(doc_id, text_hash, class, component_id), which has a row for each row of docs.
 
-    Of rows that repeat that doc_id one stays; rows with a null doc_id stay, as nothing names them.
+    Of the rows with the component's smallest doc_id the one whose text has the least hash stays; of rows
+    that repeat that doc_id and text, one. Rows with a null doc_id stay, as nothing names them.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    best = classed.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    needed = ("doc_id", "text")
+    rows = packed(docs, *needed).withColumn("_h", F.xxhash64("text"))
+    named = rows.where("doc_id is not null").join(best, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_h"])
+    return unpacked(named.unionByName(rows.where("doc_id is null")), docs.columns, needed)
+
+
+def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs without near copies by fingerprints of `width`-word shingles: see keep_one for what stays of each component. No rows give no rows."""
+    return keep_one(docs, _classed(docs, width, 3))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
