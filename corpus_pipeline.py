@@ -1,4 +1,8 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup by shingles and by fingerprints, source mix, encoding."""
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, source mix, encoding.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, an empty table and further columns
+with any name; all but the last return the columns that they get. See the operators for what each case gives.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from quillspark.llm.lines import strip_lines
 from quillspark.llm.mixing import apply_mix
 from quillspark.llm.pieces import encode
 from quillspark.llm.rules import keep_good
-from quillspark.llm.shingles import keep_distinct
+from quillspark.llm.shingles import WIDTH, keep_distinct
 from quillspark.llm.simhash import keep_first
 
 
@@ -21,17 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their text without the boilerplate lines of their source; n_chars follows the text."""
-    return strip_lines(docs).drop("_lines").withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar at 0.8 and more: the one with the smallest doc_id."""
-    return keep_distinct(docs)
+    return strip_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return keep_first(docs)
+    """One document of each group of near copies on five-word shingles: the one with the smallest doc_id.
+
+    Fingerprints at 3 or fewer differing bits first; of what is left, texts whose shingles are similar at 0.8 and more,
+    which 64 bits can't tell (such texts differ in 10 bits in the mean).
+    """
+    return keep_distinct(cut(keep_first(docs, WIDTH)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, None, "doc_id", "lang", "source").select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("shingle_dedup", shingle_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("tokens", tokens)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("tokens", tokens)]
 
 #: The mix's Newton iterations and the tokenizer have no SQL: tests compare run() with brute force.
 ORACLE_SQL = None
