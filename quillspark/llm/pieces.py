@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, join_hot, most_frequent, quoted, small_batches, table
+from quillspark.llm.common import cut, most_frequent, quoted, small_batches, table
 
-#: Bytes of chunks and ids (with what a dictionary needs for them) that every worker gets at most; the chunks beyond are joined.
+#: Bytes of chunks and ids (with what a dictionary needs for them) that every worker gets at most, about.
 TABLE_BYTES = 48 << 20
+#: Characters of the texts that are put together at a time.
+BLOCK_CHARS = 1 << 20
 #: Distinct chunks, and their characters, that a worker counts before it hands them on.
 HELD, HELD_CHARS = 1 << 18, 1 << 24
 MARK = "▁"
@@ -103,53 +105,42 @@ def segmented(found: DataFrame, segment: Callable[[list[str]], pd.DataFrame]) ->
 def encode(docs: DataFrame, path: str | None = None, *keep: str, most: int = TABLE_BYTES) -> DataFrame:
     """The columns named in keep (doc_id if none), then ids array<int> and decoded string, for each row of docs.
 
-    path: a model file that every executor can open; by default the installed one. Every distinct chunk is segmented
-    once, and texts are put together from the table. Every worker has the most frequent chunks, up to `most` bytes; what a
-    larger table has beyond meets the texts' chunks by a join and goes to its position. Null and empty texts
-    have no ids and an empty decoded text. Repeated rows come back as often as they are there. No rows give no rows.
+    path: a model file that every executor can open; by default the installed one. The table has the most
+    frequent chunks, up to `most` bytes: each is segmented once, and texts are put together from their ids by position. A rarer
+    chunk, which mostly stands once in the corpus, is segmented where it stands, once a batch: joined to its
+    position it would drag every text through a shuffle. Null and empty texts have no ids and an empty decoded
+    text. Repeated rows come back as often as they are there. No rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = segmented(distinct_chunks(docs), lambda keys: segmenter(path)(keys))
-    near, far = most_frequent(pieces.withColumn("bytes", F.octet_length("chunk") + F.octet_length("plain") + 4 * F.size("ids") + 200), F.col("bytes"), most)
-    got = near.select("chunk", "ids", F.when(F.col("plain") != F.col("chunk"), F.col("plain")).alias("plain")).toPandas()
-    sent = spark.sparkContext.broadcast((dict(zip(got["chunk"], (np.asarray(x, np.int32).tobytes() for x in got["ids"]), strict=True)), {k: p for k, p in zip(got["chunk"], got["plain"], strict=True) if p is not None}))
+    found = cut(distinct_chunks(docs))
+    near, _ = most_frequent(found, 6 * F.octet_length("chunk") + 200, most)  # a byte has one id at most
+    got = segmented(near, lambda keys: segmenter(path)(keys)).select("chunk", "ids", F.when(F.col("plain") != F.col("chunk"), F.col("plain")).alias("plain")).toArrow()
+    keys = got["chunk"].to_pylist()
+    ids = dict(zip(keys, (x.values.to_numpy().tobytes() for x in got["ids"]), strict=True))
+    sent = spark.sparkContext.broadcast((ids, {k: p for k, p in zip(keys, got["plain"].to_pylist(), strict=True) if p is not None}))
 
-    def joined(text: str | None, more: dict[str, tuple[bytes, str]]) -> tuple[np.ndarray, str]:
-        ids, odd = sent.value
-        own = chunks(text)
-        if not more:
-            return np.frombuffer(b"".join(map(ids.__getitem__, own)), np.int32), " ".join(own if odd.keys().isdisjoint(own) else [odd.get(k, k) for k in own])
-        return np.frombuffer(b"".join([more[k][0] if k in more else ids[k] for k in own]), np.int32), " ".join([more[k][1] if k in more else odd.get(k, k) for k in own])
-
-    def framed(pairs: list[tuple[np.ndarray, str]]) -> pd.DataFrame:
-        return pd.DataFrame({"ids": pd.Series([i for i, _ in pairs], dtype=object), "decoded": pd.Series([d for _, d in pairs], dtype=object)})
+    @F.pandas_udf("ids array<int>, decoded string")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        known, odd = sent.value
+        out, at = [], 0
+        while at < len(texts):
+            own, chars = [], 0
+            while at < len(texts) and (not own or chars < BLOCK_CHARS):
+                own.append(chunks(texts.iat[at]))
+                chars += len(texts.iat[at] or "")
+                at += 1
+            rare = sorted(set(chain.from_iterable(own)) - known.keys())
+            seg = segmenter(path)(rare) if rare else None
+            more = {} if seg is None else {k: x.tobytes() for k, x in zip(rare, seg["ids"], strict=True)}
+            plain = odd if seg is None else odd | {k: p for k, p in zip(rare, seg["plain"], strict=True) if p != k}
+            for part in own:
+                raw = b"".join([known[k] if k in known else more[k] for k in part])
+                out.append((np.frombuffer(raw, np.int32), " ".join(part if plain.keys().isdisjoint(part) else [plain.get(k, k) for k in part])))
+        return pd.DataFrame({"ids": pd.Series([i for i, _ in out], dtype=object), "decoded": pd.Series([d for _, d in out], dtype=object)})
 
     kept = [F.col(quoted(c)) for c in keep or ("doc_id",)]
-    if far is None:
-
-        @F.pandas_udf("ids array<int>, decoded string")
-        def of(texts: pd.Series) -> pd.DataFrame:
-            return framed([joined(t, {}) for t in texts])
-
-        return docs.select(*kept, of(F.col("text")).alias("_pieces")).select(*kept, "_pieces.ids", "_pieces.decoded")
-
-    @F.pandas_udf("array<string>")
-    def lacking(texts: pd.Series) -> pd.Series:
-        ids = sent.value[0]
-        return pd.Series([sorted({k for k in chunks(t) if k not in ids}) for t in texts], dtype=object)
-
-    @F.pandas_udf("ids array<int>, decoded string")
-    def of_both(texts: pd.Series, more: pd.Series) -> pd.DataFrame:
-        return framed([joined(t, {} if m is None else {c["chunk"]: (np.asarray(c["ids"], np.int32).tobytes(), c["plain"]) for c in m}) for t, m in zip(texts, more, strict=True)])
-
-    name = F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))  # of a text: equal texts lack the same
-    wanted = docs.select(name.alias("_t"), F.explode(lacking("text")).alias("chunk")).distinct()
-    # a text's own chunks, each once
-    filled = wanted.join(far.select("chunk", "ids", "plain"), "chunk").groupBy("_t").agg(F.collect_list(F.struct("chunk", "ids", "plain")).alias("_more"))
-    rows = docs.select(F.struct(*kept).alias("_keep"), F.col("text").alias("_text"), name.alias("_t"))
-    both = join_hot(rows, cut(filled), "_t", "left").select("_keep", of_both("_text", "_more").alias("_pieces"))
-    return both.select("_keep.*", "_pieces.ids", "_pieces.decoded")
+    return docs.select(*kept, of(F.col("text")).alias("_pieces")).select(*kept, "_pieces.ids", "_pieces.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
