@@ -16,7 +16,7 @@ from quillspark.llm.common import cut, most_frequent, remainder, small_batches,
 #: Characters of an n-gram: four of 16 bits make a 64-bit key.
 ORDER = 4
 #: Cells (n-grams, or contexts, and languages that have them) that every executor gets at most, 16 bytes each or less: beyond, the rarer ones are joined.
-CELLS = 6_000_000
+CELLS = 3_000_000
 #: One in so many of the learnable rows calibrates.
 FOLDS = 10
 #: Characters counted or scored at a time.
@@ -210,8 +210,9 @@ def scored(texts: DataFrame, model: DataFrame, langs: list[str], most: int = CEL
     for r in model.where("kind = 0").select("place", "w").collect():
         floor[r["place"]] = r["w"]
     near, far = _hot(model, most)
-    got = near.select("kind", "key", "place", "w").toPandas()
-    cells = {int(k): (p["key"].to_numpy(np.int64).view(np.uint64), p["place"].to_numpy(np.int32), p["w"].to_numpy(float)) for k, p in got.groupby("kind")}
+    got = near.select("kind", "key", "place", "w").toArrow()
+    kind, key, lang, w = (got[c].to_numpy() for c in ("kind", "key", "place", "w"))
+    cells = {int(k): (key[kind == k].view(np.uint64), lang[kind == k], w[kind == k]) for k in np.unique(kind)}
     sent = spark.sparkContext.broadcast(Tables(len(langs), floor, cells))
 
     def best(sums: np.ndarray, length: np.ndarray) -> pd.DataFrame:

@@ -124,9 +124,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def train(rows: DataFrame, label: str) -> Additive:
     """Fit on rows(doc_id, x array<double>, and the label column), one a doc_id and in its order, so that reruns agree."""
-    got = rows.select("doc_id", "x", label).toPandas().sort_values("doc_id")
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1) if len(got) else np.zeros((0, len(NAMES)))
-    return fit(x, got[label].to_numpy(float))
+    got = rows.select("doc_id", "x", label).toArrow().sort_by("doc_id")
+    x = np.array(got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(got.num_rows, len(NAMES))
+    return fit(x, got[label].to_numpy().astype(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

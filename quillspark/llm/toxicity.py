@@ -77,6 +77,15 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray  # FACTORS by SPACE
 
+    def __getstate__(self) -> tuple:
+        used = np.flatnonzero((self.weight != 0) | self.factor.any(axis=0))
+        return self.bias, used, self.weight[used], self.factor[:, used]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bias, used, weight, factor = state
+        self.weight, self.factor = np.zeros(SPACE, np.float32), np.zeros((FACTORS, SPACE), np.float32)
+        self.weight[used], self.factor[:, used] = weight, factor
+
     def logits(self, n: int, doc: np.ndarray, ids: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Bias, the weighted values, and for every two terms the inner product of their factors times their values."""
         z = self.bias + np.bincount(doc, self.weight[ids] * value, n)
@@ -162,8 +171,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     marks = cut(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")))
     found = docs.select("doc_id", "text").join(F.broadcast(some(marks, SAMPLE, "doc_id")), "doc_id")  # SAMPLE rows, about
     found = found.select("doc_id", "_y", F.xxhash64("text").alias("_h"), of("text").alias("_t"))
-    rows = cut(found.groupBy("doc_id").agg(F.min("_y").alias("y"), F.min_by("_t", "_h").alias("t"))).select("doc_id", "y", "t.ids", "t.value").toPandas().sort_values("doc_id")
-    sent = spark.sparkContext.broadcast(fit(list(zip(rows["ids"], rows["value"], strict=True)), rows["y"].to_numpy(float)))
+    rows = cut(found.groupBy("doc_id").agg(F.min("_y").alias("y"), F.min_by("_t", "_h").alias("t"))).select("doc_id", "y", "t.ids", "t.value").toArrow().sort_by("doc_id").combine_chunks()
+    terms = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(rows["ids"], rows["value"], strict=True)]
+    sent = spark.sparkContext.broadcast(fit(terms, rows["y"].to_numpy().astype(float)))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
