@@ -39,7 +39,8 @@ def cap_severity(severity: Column, most: str) -> Column:
 
 def half_even_mean(total: Column, count: Column) -> Column:
     """Mean of whole numbers, rounded half to even, in whole-number arithmetic. Null without a count."""
-    q, r2 = F.floor(total / count), F.pmod(total, count) * 2
+    rest = F.pmod(total, count)
+    q, r2 = ((total - rest).cast("decimal(20,0)") / count.cast("decimal(20,0)")).cast("long"), rest * 2
     return F.when(count > 0, (q + ((r2 > count) | ((r2 == count) & (F.pmod(q, F.lit(2)) == 1))).cast("long")).cast("long"))
 
 
@@ -50,7 +51,7 @@ def money(value: Column) -> Column:
 
 def level(score: Column) -> Column:
     low, middle, high = LEVELS
-    return F.when(score >= high, "critical").when(score >= middle, "high").when(score >= low, "moderate").otherwise("routine")
+    return F.when(score >= high, "high").when(score >= middle, "elevated").when(score >= low, "moderate").otherwise("low")
 
 
 def tolerance(a: Column, b: Column, quantum_a: Column, quantum_b: Column, approximate: Column | None = None, absolute: Column | None = None) -> Column:

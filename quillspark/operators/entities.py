@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from quillspark.functions.core import content_id
 from quillspark.operators.graph import components
 
 HAMMING, TEMPERATURE, TOP_AFFINITY, MARGIN = 4, 50.0, 0.30, 0.05
+#: Query vectors that go to every executor at once, about.
+QUERIES = 4096
 
 
 def resolve_operators(claims: DataFrame) -> DataFrame:
@@ -58,6 +65,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def cosine_links(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float, block: int = QUERIES) -> DataFrame:
+    """(query_id, key, cosine) of `least` and more for each of queries against all rows; a vector isn't met with its own key.
+
+    Queries go out in blocks of about `block` vectors, and each batch of rows meets a block in one matrix product. Zero
+    vectors and nulls have no link. Vectors have one length. No rows give no rows.
+    """
+    spark = rows.sparkSession
+    queries = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    blocks = -(-queries.count() // block)
+    schema = f"query_id long, {key} long, cosine double"
+
+    def unit(vectors: list) -> np.ndarray:
+        m = np.array([np.asarray(v, np.float64) for v in vectors])
+        norm = np.sqrt((m * m).sum(axis=1))
+        return m / np.where(norm > 0, norm, np.inf)[:, None]
+
+    def against(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, wanted = sent.value
+            for batch in batches:
+                if len(batch):
+                    s = unit(batch[vector].tolist()) @ wanted.T
+                    row, col = np.nonzero(s >= least)
+                    own = batch[key].to_numpy()[row]
+                    keep = own != ids[col]
+                    yield pd.DataFrame({"query_id": ids[col][keep], key: own[keep], "cosine": s[row, col][keep]})
+
+        return meet
+
+    out = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k).select(key, vector).toArrow()
+        if part.num_rows:
+            sent = spark.sparkContext.broadcast((part[key].to_numpy(), unit(part[vector].to_pylist())))
+            out = out.unionByName(rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInPandas(against(sent), schema))
+    return out
+
+
 def softmax(values: Column, temperature: float = TEMPERATURE) -> Column:
     """Stable softmax of an array of doubles."""
     raised = F.transform(values, lambda v: F.exp(temperature * (v - F.array_max(values))))

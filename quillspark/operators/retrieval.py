@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import ascii_tokens
+from quillspark.functions.lineage import cut
+from quillspark.functions.text import tokens
 
 TOP, LEAST = 5, 0.05
+#: Postings up to which every executor gets the index, so that no term is hot; beyond, terms are shuffled.
+INDEX_ROWS = 500_000
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.explode(ascii_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    return rows.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, top: int = TOP, least: float = LEAST) -> DataFrame:
@@ -28,7 +31,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top: int = TOP, least: float
     total = n.first()["n_all"]
     weights = tc.join(df, "term").withColumn("idf", F.ln(1 + F.lit(float(total)) / (1 + F.col("df"))) + 1).withColumn("w", (1 + F.ln("c")) * F.col("idf"))
     norms = weights.groupBy("requirement_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = weights.select("term", "requirement_id", "w")
+    index = cut(weights.select("term", "requirement_id", "w"))
+    if index.count() <= INDEX_ROWS:
+        index = F.broadcast(index)
     qc = term_counts(queries, "query_id", "text").withColumn("qw", 1 + F.ln("c")).drop("c")
     scored = qc.join(index, "term").groupBy("query_id", "requirement_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).join(norms, "requirement_id")
     scored = scored.select("query_id", "requirement_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)

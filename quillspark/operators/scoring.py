@@ -22,11 +22,11 @@ def score_documents(documents: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def score_projects(documents: DataFrame, findings: DataFrame) -> DataFrame:
-    """(project_id, n_documents, document_mean, package_points, score), of projects with a document: mean of all document scores, half to even, and the points of findings without a document, 100 at most."""
+    """(project_id, n_documents, document_mean, package_points, score): mean of all document scores, half to even and 0 without a document, and the points of findings without a document, 100 at most."""
     docs = score_documents(documents, findings).groupBy("project_id").agg(F.count("*").alias("n_documents"), F.sum("score").alias("total"))
     package = findings.where("document_id is null").groupBy("project_id").agg(F.sum(points(F.col("severity"))).alias("package_points"))
-    both = docs.join(package, "project_id", "left").withColumn("package_points", F.coalesce("package_points", F.lit(0)).cast("long"))
-    both = both.withColumn("document_mean", half_even_mean(F.col("total"), F.col("n_documents")))
+    both = docs.join(package, "project_id", "full").fillna(0, ["n_documents", "total", "package_points"]).withColumn("package_points", F.col("package_points").cast("long"))
+    both = both.withColumn("document_mean", F.coalesce(half_even_mean(F.col("total"), F.col("n_documents")), F.lit(0).cast("long")))
     return both.select("project_id", "n_documents", "document_mean", "package_points", F.least(F.lit(SCORE_CAP), F.col("document_mean") + F.col("package_points")).cast("long").alias("score"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import text
 from quillspark.functions.core import content_id, level, tolerance
 from quillspark.functions.numbers import UNITS, mentions, registry, to_canonical
 from quillspark.operators import entities, matching, meta, ordered, package, retrieval, scoring, tables, validate
@@ -36,7 +37,7 @@ def _documents(t: Callable[[str], DataFrame]) -> DataFrame:
 def _findings(t: Callable[[str], DataFrame]) -> DataFrame:
     """Orders as findings, their priority as severity; each 97th belongs to its customer's nation as a whole."""
     severity = F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "2-HIGH", "medium").when(F.col("o_orderpriority") == "3-MEDIUM", "low").otherwise("info")
-    orders = t("orders").where("o_orderkey % 5 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return orders.select(
         F.col("c_nationkey").alias("project_id"), F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("document_id"), severity.alias("severity"),
         F.col("o_orderstatus").alias("finding_type"), content_id("f", F.col("o_orderkey")).alias("finding_id"))
@@ -46,7 +47,7 @@ _FINDINGS_SQL = """findings AS (
   SELECT c_nationkey AS project_id, CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS document_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' WHEN '3-MEDIUM' THEN 'low' ELSE 'info' END AS severity,
     o_orderstatus AS finding_type, 'f__' || substr(sha256(o_orderkey::VARCHAR), 1, 12) AS finding_id
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0),
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 pointed AS (SELECT *, CASE severity WHEN 'high' THEN 25 WHEN 'medium' THEN 12 WHEN 'low' THEN 5 ELSE 2 END AS points FROM findings)"""
 _DOCUMENT_SQL = f"""{_FINDINGS_SQL},
 per AS (SELECT document_id, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'medium') AS n_medium, count(*) FILTER (WHERE severity = 'low') AS n_low, count(*) FILTER (WHERE severity = 'info') AS n_info, sum(points) AS points FROM pointed WHERE document_id IS NOT NULL GROUP BY document_id),
@@ -54,7 +55,7 @@ scored AS (SELECT c_nationkey AS project_id, c_custkey AS document_id, coalesce(
 _PROJECT_SQL = f"""{_DOCUMENT_SQL},
 means AS (SELECT project_id, count(*) AS n_documents, sum(score)::BIGINT AS total FROM scored GROUP BY project_id),
 package AS (SELECT project_id, sum(points) AS package_points FROM pointed WHERE document_id IS NULL GROUP BY project_id),
-rounded AS (SELECT m.project_id, n_documents, (total // n_documents + CASE WHEN 2 * (total % n_documents) > n_documents OR (2 * (total % n_documents) = n_documents AND (total // n_documents) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT AS document_mean, coalesce(package_points, 0)::BIGINT AS package_points FROM means m LEFT JOIN package p ON m.project_id = p.project_id),
+rounded AS (SELECT coalesce(m.project_id, p.project_id) AS project_id, coalesce(n_documents, 0) AS n_documents, coalesce(total // n_documents + CASE WHEN 2 * (total % n_documents) > n_documents OR (2 * (total % n_documents) = n_documents AND (total // n_documents) % 2 = 1) THEN 1 ELSE 0 END, 0)::BIGINT AS document_mean, coalesce(package_points, 0)::BIGINT AS package_points FROM means m FULL JOIN package p ON m.project_id = p.project_id),
 projects AS (SELECT *, least(100, document_mean + package_points)::BIGINT AS score FROM rounded)"""
 
 
@@ -63,7 +64,7 @@ def score_documents(t):
     return scoring.score_documents(_documents(t), _findings(t))
 
 
-@query(f"WITH {_PROJECT_SQL} SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'moderate' ELSE 'routine' END AS level FROM projects")
+@query(f"WITH {_PROJECT_SQL} SELECT *, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'elevated' WHEN score >= 25 THEN 'moderate' ELSE 'low' END AS level FROM projects")
 def score_projects(t):
     return scoring.score_projects(_documents(t), _findings(t)).withColumn("level", level(F.col("score"))).orderBy(F.desc("score"), "project_id")
 
@@ -94,11 +95,14 @@ def low_text_ratio(t):
     return package.text_coverage(t("documents"), "source")
 
 
-_TOKENS = "[x for x in string_split_regex(lower(coalesce({0}, '')), '[^a-z]+') if length(x) >= 2]"
+_STOPS = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_TOKENS = f"[x for x in string_split_regex(replace(lower(coalesce({{0}}, '')), 'ё', 'е'), '[^{text.LETTERS}]+') if length(x) >= 2 AND x NOT IN ({_STOPS})]"
 
 
 def _headings(t):
-    return t("documents").select(F.col("doc_id").alias("heading_id"), F.element_at(F.split("text", "\n"), 1).alias("title"))
+    """Every line of every document."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "title"))
+    return lines.select(F.concat_ws(":", "doc_id", "line").alias("heading_id"), "title")
 
 
 def _rules(t):
@@ -106,7 +110,8 @@ def _rules(t):
 
 
 @query(rf"""
-WITH h AS (SELECT doc_id AS heading_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\s+', ' ', 'g')) AS title, list_distinct({_TOKENS.format('string_split(text, chr(10))[1]')}) AS ht FROM documents),
+WITH l AS (SELECT doc_id || ':' || unnest(range(len(string_split(text, chr(10))))) AS heading_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+h AS (SELECT heading_id, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS title, list_distinct({_TOKENS.format('line')}) AS ht FROM l),
 a AS (SELECT item_id AS rule_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS raw FROM benchmark),
 r AS (SELECT rule_id, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS alias, list_distinct({_TOKENS.format('raw')}) AS rt FROM a),
 p AS (SELECT heading_id, rule_id, title, alias, len(list_intersect(ht, rt)) AS both_n, len(ht) AS nh, len(rt) AS nr FROM h CROSS JOIN r),
@@ -119,9 +124,9 @@ def section_match_tiers(t):
 _REQUIRED = ("click", "error", "purchase", "signup", "view")
 
 
-@query("SELECT user_id, k AS missing FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS k) r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = k)")
+@query("WITH e AS (SELECT event_id // 10 AS block, event_type FROM events) SELECT block, k AS missing FROM (SELECT DISTINCT block FROM e) u, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS k) r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.block = u.block AND e.event_type = k)")
 def missing_type(t):
-    return package.missing_types(t("events"), "user_id", "event_type", list(_REQUIRED))
+    return package.missing_types(t("events").withColumn("block", F.expr("event_id div 10")), "block", "event_type", list(_REQUIRED))
 
 
 @query(f"""
@@ -223,12 +228,12 @@ def near_duplicate_clusters(t):
 
 
 @query("""
-WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, vec_id, round(s, 5) AS cosine FROM p WHERE s >= 0.30""")
 def cosine_links(t):
-    q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    pairs = t("embeddings").join(q, "label").where("vec_id != query_id")
-    return pairs.withColumn("s", entities.cosine(F.col("q"), F.col("embedding"))).where("s >= 0.30").select("query_id", "vec_id", F.round("s", 5).alias("cosine"))
+    rows = t("embeddings").select("vec_id", "embedding")
+    found = entities.cosine_links(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 0.30)
+    return found.select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"))
 
 
 @query("""
@@ -346,9 +351,7 @@ def row_bounds(t):
 
 @query("SELECT r.n_regionkey AS fold, n.n_nationkey, CASE WHEN n.n_regionkey = r.n_regionkey THEN 'test' ELSE 'train' END AS part FROM nation n, (SELECT DISTINCT n_regionkey FROM nation) r")
 def leave_one_out(t):
-    folds = t("nation").agg(F.collect_set("n_regionkey").alias("f"))  # one value a project group
-    rows = t("nation").select("n_nationkey", "n_regionkey", F.explode(F.array(*[F.lit(x) for x in sorted(folds.first()["f"])])).alias("fold"))
-    return rows.select("fold", "n_nationkey", F.when(F.col("n_regionkey") == F.col("fold"), "test").otherwise("train").alias("part"))
+    return validate.leave_one_out(t("nation").select("n_nationkey", "n_regionkey"), "n_regionkey")
 
 
 def _features(t):
@@ -426,12 +429,12 @@ def twin_propagation(t):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, o_orderkey AS k, o_orderkey % 40 AS a, o_orderkey % 40 + o_orderkey % 9 AS b, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS title FROM orders WHERE o_orderkey % 2 = 0),
+WITH s AS (SELECT o_custkey, o_orderkey AS k, o_orderkey % 40 AS a, o_orderkey % 40 + o_orderkey % 9 AS b, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS title FROM orders),
 p AS (SELECT o_custkey, o_orderkey, o_orderkey % 41 AS page FROM orders)
 SELECT p.o_custkey, p.o_orderkey, page, arg_max(title, k) FILTER (WHERE title IS NOT NULL) AS title, max(k) AS section_id FROM p LEFT JOIN s ON p.o_custkey = s.o_custkey AND page BETWEEN a AND b GROUP BY ALL""")
 def nearest_heading(t):
     key = F.col("o_orderkey")
-    sections = t("orders").where("o_orderkey % 2 = 0").select("o_custkey", key.alias("section_id"), key.alias("k"), (key % 40).alias("a"), (key % 40 + key % 9).alias("b"), F.when(key % 7 != 0, F.col("o_orderpriority")).alias("title"))
+    sections = t("orders").select("o_custkey", key.alias("section_id"), key.alias("k"), (key % 40).alias("a"), (key % 40 + key % 9).alias("b"), F.when(key % 7 != 0, F.col("o_orderpriority")).alias("title"))
     pages = t("orders").select("o_custkey", "o_orderkey", (key % 41).alias("page"))
     return tables.covering_heading(pages, sections, "o_custkey", "page", "a", "b", "title", "section_id", "k").select("o_custkey", "o_orderkey", "page", "title", "section_id")
 

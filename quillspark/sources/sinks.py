@@ -18,10 +18,18 @@ def merge_template(current: DataFrame, edited: DataFrame, key: str = "finding_id
     return merged, edited.join(current.select(key), key, "left_anti")
 
 
-def cache_key(sha: Column, parsers: Column, ocr_mode: Column, version: Column) -> Column:
-    return F.sha2(F.concat_ws("|", sha, parsers, ocr_mode, version), 256)
+# Statuses of a finished extraction, and the files that it leaves.
+FINISHED = ("success", "partial")
+CORE_FILES = ("document.json", "pages.jsonl", "sections.jsonl", "tables.jsonl", "images.jsonl")
+
+
+def cache_key(sha: Column, parsers: Column, ocr_mode: Column, schema: Column) -> Column:
+    """Digest of a source's hash, its parsers (a map of names to versions, in order of name; no version is unknown), how it reads pictures, and the schema's version."""
+    named = F.transform(F.array_sort(F.map_entries(parsers)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.when(e["value"] != "", e["value"]), F.lit("unknown"))))
+    return F.sha2(F.concat_ws("|", sha, named, F.concat(F.lit("ocr="), ocr_mode), F.concat(F.lit("schema="), schema)), 256)
 
 
 def unfinished(work: DataFrame, done: DataFrame) -> DataFrame:
-    """Work whose cache key has no finished report."""
-    return work.join(done.where("status = 'ok'").select("cache_key"), "cache_key", "left_anti")
+    """Work whose cache key has no finished report with all core files; done(cache_key, extraction_status, files)."""
+    whole = F.size(F.array_except(F.array(*[F.lit(f) for f in CORE_FILES]), F.coalesce("files", F.array().cast("array<string>")))) == 0
+    return work.join(done.where(F.col("extraction_status").isin(*FINISHED) & whole).select("cache_key"), "cache_key", "left_anti")

@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 from decimal import Decimal
 
@@ -52,7 +53,40 @@ def test_ambiguous_numeral():
 def test_labels(spark):
     df = spark.createDataFrame([("  Straße—ABC_ё ", "1.2. Title!"), (None, None)], "a string, b string")
     rows = df.select(text.normalize_label("a").alias("a"), text.normalize_title("b").alias("b"), text.similarity("a", "a").alias("s")).collect()
-    assert rows[0]["a"] == "strasse abc е" and rows[0]["b"] == "title" and rows[0]["s"] == 1.0 and rows[1]["a"] is None
+    assert rows[0]["a"] == "strasse abc_е" and rows[0]["b"] == "title" and rows[0]["s"] == 1.0 and rows[1]["a"] is None
+
+
+def test_raised_digits_and_numbering(spark):
+    df = spark.createDataFrame([("10⁵ м³, 47⁰ 5 %", "2.1 (Ёлка) — план_1"), ("", "3)")], "a string, b string")
+    rows = df.select(text.normalize_label("a").alias("a"), text.normalize_title("b").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [("10 5 м3 47 5 %", "елка план_1"), ("", "")]
+    words = spark.createDataFrame([("Ёмкость для воды — 25 м3, Әуе и the tank",), (None,)], "t string")
+    assert [r[0] for r in words.select(text.tokens(F.col("t"))).collect()] == [["емкость", "воды", "25", "м3", "әуе", "tank"], []]
+
+
+def test_levels_and_projects_without_documents(spark):
+    scores = spark.createDataFrame([(24,), (25,), (50,), (75,)], "s long")
+    assert [r[0] for r in scores.select(core.level(F.col("s"))).collect()] == ["low", "moderate", "elevated", "high"]
+    findings = spark.createDataFrame([("q", None, "high")], "project_id string, document_id long, severity string")
+    documents = spark.createDataFrame([("p", 1)], "project_id string, document_id long")
+    from quillspark.operators import scoring
+
+    assert {r["project_id"]: (r["n_documents"], r["score"]) for r in scoring.score_projects(documents, findings).collect()} == {"p": (1, 0), "q": (0, 25)}
+
+
+def test_cosine_links_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(60, 6))
+    m[7] = 0
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)] + [(None, [1.0] * 6), (99, None)], "k long, v array<double>")
+    unit = m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    s = unit @ unit.T
+    want = {(i, j) for i in range(0, 60, 10) for j in range(60) if i != j and s[i, j] >= 0.3}
+    got = entities.cosine_links(rows.where("k % 10 = 0"), rows, "k", "v", 0.3, block=2)
+    assert {(r["query_id"], r["k"]) for r in got.collect()} == want
+    assert entities.cosine_links(rows.limit(0), rows, "k", "v", 0.3).count() == 0
 
 
 def test_components(spark):
@@ -99,10 +133,20 @@ def test_runs(spark):
 
 def test_manifest(spark, tmp_path):
     good = tmp_path / "good.jsonl"
-    good.write_text('{"project_id": "p", "documents": [{"document_id": "d1", "file_format": "PDF", "role": "model_input"}, {"document_id": "d2", "file_format": "rar", "role": "model_input"}, {"document_id": "d3", "file_format": "pdf", "role": "label_source"}]}\n')
+    good.write_text('{"project_id": "p", "documents": [{"document_id": "d1", "file_format": "PDF", "role": "model_input", "use_as_model_feature": true, "label_timing": "pre_review"}, {"document_id": "d2", "file_format": "rar", "role": "model_input"}, {"document_id": "d3", "file_format": "pdf", "role": "label_source"}]}\n')
     selected, skipped = records.select_documents(records.load_manifest(spark, str(good)))
     assert [r["document_id"] for r in selected.collect()] == ["d1"]
-    assert {r["document_id"]: r["reason"] for r in skipped.collect()} == {"d2": "skip_archive", "d3": "label_source"}
+    assert {r["document_id"]: r["reason"] for r in skipped.collect()} == {"d2": "auxiliary_archive_never_ingested", "d3": "excluded_by_leakage_boundary"}
+    asked, _ = records.select_documents(records.load_manifest(spark, str(good)), include_label_sources=True)
+    assert sorted(r["document_id"] for r in asked.collect()) == ["d1", "d3"]
+    zipped = spark.createDataFrame([("7Z", "model_input"), ("pdf", "auxiliary_archive"), ("docx", None), ("xls", "model_input")], "f string, r string")
+    assert [r[0] for r in zipped.select(records.route(F.col("f"), F.col("r"))).collect()] == ["skip_archive", "skip_archive", "docx", "skip_unsupported"]
+    good.write_text("\n" + good.read_text() + "  \n")
+    assert records.load_manifest(spark, str(good)).count() == 3
+    assert records.select_documents(records.load_manifest(spark, str(good)), document_id="d9")[0].count() == 0
+    (tmp_path / "empty.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no project records"):
+        records.load_manifest(spark, str(tmp_path / "empty.jsonl"))
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"project_id": "p"}\n')
     with pytest.raises(Exception, match="not a valid record"):
@@ -118,6 +162,12 @@ def test_inventory_and_template(spark, tmp_path):
     merged, stale = sinks.merge_template(current, edited)
     assert {r["finding_id"]: r["expert_decision"] for r in merged.collect()} == {"f1": "ok", "f2": None}
     assert [r["finding_id"] for r in stale.collect()] == ["f9"]
+    listed = spark.createDataFrame([("p", "d", "a.zip"), ("p", "e", "gone.pdf")], "project_id string, document_id string, local_path string")
+    assert {r["document_id"]: r["media_type"] for r in records.listed_inventory(spark, listed, str(tmp_path)).collect()} == {"d": "application/zip", "e": None}
+    key = spark.range(1).select(sinks.cache_key(F.lit("s"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("")), F.lit("auto"), F.lit("1")).alias("k")).first()["k"]
+    assert key == hashlib.sha256(b"s|a=unknown|b=2|ocr=auto|schema=1").hexdigest()
+    done = spark.createDataFrame([("k1", "success", list(sinks.CORE_FILES)), ("k2", "failed", list(sinks.CORE_FILES)), ("k3", "partial", ["document.json"])], "cache_key string, extraction_status string, files array<string>")
+    assert {r[0] for r in sinks.unfinished(spark.createDataFrame([("k1",), ("k2",), ("k3",), ("k4",)], "cache_key string"), done).collect()} == {"k2", "k3", "k4"}
     sinks.write_jsonl(current, str(tmp_path / "out"), "finding_id")
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
