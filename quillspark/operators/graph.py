@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.lineage import cut
 
-#: A node is a hub if it has over a HUB-th of the edges: there can be HUB of them at most, or twice that over both ends.
-HUB = 64
+#: A node is a hub if it has over a HUB-th of the edges: there can be 2 * HUB of them at most. Only where there are more edges than FEW do hubs matter to a task.
+HUB, FEW = 64, 1 << 17
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,9 +19,12 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """edges(a, b) with m, the least b of an a. A hub's edges stay where they are: its one row goes to all tasks."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(low.where(F.col("n") * HUB > total).select("a", "m"))  # 2 * HUB rows at most
-    rest = edges.join(hubs.select("a"), "a", "left_anti").join(low.where(F.col("n") * HUB <= total).select("a", "m"), "a")
-    return edges.join(hubs, "a").unionByName(rest)
+    hubs = [r["a"] for r in low.where(F.col("n") * HUB > total).select("a").collect()] if total > FEW else []
+    low = low.drop("n")
+    if not hubs:
+        return edges.join(low, "a")
+    is_hub = F.col("a").isin(hubs)
+    return edges.where(is_hub).join(F.broadcast(low.where(is_hub)), "a").unionByName(edges.where(~is_hub).join(low.where(~is_hub), "a"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = pairs.unionByName(pairs.selectExpr("b as a", "a as b"))
         large = _with_least(both, before[0]).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct()
+        large = cut(large) if before[0] > FEW else large
         small = _with_least(large, before[0])
         small = small.selectExpr("a", "m as b").unionByName(small.selectExpr("b as a", "m as b")).where("a != b").distinct()
         pairs = cut(small)

@@ -89,7 +89,11 @@ def test_cosine_links_in_blocks(spark):
     assert entities.cosine_links(rows.limit(0), rows, "k", "v", 0.3).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 17, 0])  # plain joins; hubs apart
+def test_components(spark, monkeypatch, few):
+    from quillspark.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 3), (10, 1), (2, 1)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4}
