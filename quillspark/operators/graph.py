@@ -12,8 +12,11 @@ HUB, FEW = 64, 1 << 17
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+    """The number of distinct edges (a > b), and of nodes that keep them from being stars around their least nodes."""
+    ends = edges.selectExpr("a as node", "1 as up").unionByName(edges.selectExpr("b as node", "0 as up"))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    row = nodes.agg(F.sum("up").alias("n"), F.count_if(F.expr("up > 1 or (up = 1 and n > 1)")).alias("odd")).first()
+    return row["n"] or 0, row["odd"]
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -32,19 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: longs a, b in any order; null ends, loops and repeated rows count for nothing. A round is two
     aggregations and two joins on a node; what a hub gathers is one minimum, never a list. Every round is
-    written to the shared folder. No edges give no rows.
+    written to the shared folder; the last is the one that leaves stars. No edges give no rows.
     """
     pairs = cut(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
-    before = _state(pairs)
-    while before[0]:
+    total, odd = _state(pairs)
+    while odd:
         both = pairs.unionByName(pairs.selectExpr("b as a", "a as b"))
-        large = _with_least(both, before[0]).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct()
-        large = cut(large) if before[0] > FEW else large
-        small = _with_least(large, before[0])
+        large = _with_least(both, total).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct()
+        large = cut(large) if total > FEW else large
+        small = _with_least(large, total)
         small = small.selectExpr("a", "m as b").unionByName(small.selectExpr("b as a", "m as b")).where("a != b").distinct()
         pairs = cut(small)
-        after = _state(pairs)
-        if after == before:
-            break
-        before = after
+        total, odd = _state(pairs)
     return pairs.selectExpr("a as node", "b as root").unionByName(pairs.selectExpr("b as node", "b as root").distinct())
