@@ -75,9 +75,9 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set names whose sets have a similarity of 0.8 and more, exactly."""
+    """The pairs(a, b, class_a, class_b) of set names whose sets have a similarity of 0.8 and more, exactly."""
     both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
-    return both.where(f"size(array_intersect(_a, _b)) * {SHARED + OF} >= {SHARED} * (size(_a) + size(_b))").select("a", "b")
+    return both.where(f"size(array_intersect(_a, _b)) * {SHARED + OF} >= {SHARED} * (size(_a) + size(_b))").select(*pairs.columns)
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -104,14 +104,14 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
             one = live.groupBy("key").agg(F.min_by(F.struct("fp", "n", "class"), F.xxhash64("fp", F.lit(turn))).alias("o"))
             met = live.join(one.selectExpr("key", "o.fp as b", "o.n as n_b", "o.class as class_b"), "key")
         met = met.where(f"class != class_b and {OF} * least(n, n_b) >= {SHARED} * greatest(n, n_b)")
-        pairs = cut(met.selectExpr("greatest(fp, b) as a", "least(fp, b) as b").distinct())
+        pairs = cut(met.selectExpr("greatest(fp, b) as a", "least(fp, b) as b", "greatest(class, class_b) as class_a", "least(class, class_b) as class_b").distinct())
         found = cut(_similar(pairs, sets))
-        edges = found if edges is None else edges.unionByName(found)
+        edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
         if last:
             break
         before = live.select("class").distinct().count()
-        roots = cut(components(edges))
-        live = cut(live.drop("class").join(roots, live.fp == roots.node, "left").selectExpr("key", "fp", "n", "coalesce(root, fp) as class"))
+        roots = components(found.selectExpr("class_a as a", "class_b as b"))
+        live = cut(live.join(roots, live["class"] == roots.node, "left").selectExpr("key", "fp", "n", "coalesce(root, class) as class"))
         few = live.select("class").distinct().count() > 0.9 * before
         turn += 1
     return sets.sparkSession.createDataFrame([], "a long, b long") if edges is None else edges
