@@ -13,6 +13,13 @@ RELATIVE_TOLERANCE, ZERO_MULTIPLIER, APPROXIMATE_MULTIPLIER = "0.02", 10, 5
 DEFAULT_ABSOLUTE_TOLERANCE = "0.0000005"
 SEVERITY_GATES = {"high": "0.5", "medium": "0.1"}
 LEVELS = (25, 50, 75)
+COHERENCE_CONFIDENCE = {
+    "conflicting_project_identity": "0.85", "conflicting_facility_identity": "0.8", "conflicting_location": "0.75", "conflicting_activity_or_category": "0.7",
+    "conflicting_reporting_period": "0.8", "conflicting_operator": "0.85", "unresolved_entity_identity": "0.4", "insufficient_cross_document_context": "0.35",
+    "orphan_document_reference": "0.5",
+}
+COHERENCE_PENALTIES = {"ocr_source": "0.15", "address_partial": "0.1", "single_document": "0.1"}
+CONFIDENCE_ELSE, CONFIDENCE_RANGE = "0.5", ("0.05", "0.95")
 
 
 def content_id(prefix: str, *parts: Column) -> Column:
@@ -78,3 +85,15 @@ def conflict_severity(rel_diff: Column, immaterial: Column, confidence: Column)
 def tri_state(a: Column, b: Column) -> Column:
     """match, conflict or unknown; unknown never counts as match."""
     return F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "match").otherwise("conflict")
+
+
+def confidence(kind: Column, flags: Column, bases: dict[str, str] = COHERENCE_CONFIDENCE, penalties: dict[str, str] = COHERENCE_PENALTIES, extra: Column | None = None) -> Column:
+    """decimal(4,2): the base of a kind of finding less the penalty of each flag that is there, each once, plus extra; within bounds. Null flags are none."""
+    exact, value = "decimal(4,2)", F.lit(CONFIDENCE_ELSE).cast("decimal(4,2)")
+    for name, base in bases.items():
+        value = F.when(kind == name, F.lit(base).cast(exact)).otherwise(value)
+    for flag, penalty in penalties.items():
+        value = value - F.when(F.array_contains(flags, flag), F.lit(penalty).cast(exact)).otherwise(F.lit("0").cast(exact))
+    value = value if extra is None else value + extra.cast(exact)
+    low, high = (F.lit(x).cast(exact) for x in CONFIDENCE_RANGE)
+    return F.least(high, F.greatest(low, value)).cast(exact)

@@ -36,6 +36,39 @@ def resolve_operators(claims: DataFrame) -> DataFrame:
     return every.select("project_id", "n_identifiers", "n_names", status.alias("status"), named.alias("entity_id"))
 
 
+def identity_findings(operators: DataFrame) -> DataFrame:
+    """The rows of operators(status, n_names, n_named, n_documents, more) that are findings, with finding_type, severity and rule_id; status and n_names as resolve_operators has them.
+
+    n_named: documents with a claim that counts; n_documents: all of the project. Two identifiers weigh more under one name.
+    What only one document could show is no finding, and a confirmed operator isn't either.
+    """
+    conflict = F.col("status") == "conflicting_identifier"
+    unresolved = (F.col("status") == "unresolved_names") & (F.col("n_named") >= 2)
+    absent = (F.col("status") == "absent") & (F.col("n_documents") >= 2)
+    kind = F.when(conflict, "conflicting_operator").when(unresolved, "unresolved_entity_identity").when(absent, "insufficient_cross_document_context")
+    severity = F.when(conflict & (F.col("n_names") == 1), "medium").when(conflict, "low").otherwise("info")
+    rule = F.when(conflict, "P4-A-IDENTIFIER").when(unresolved, "P4-A-UNRESOLVED").when(absent, "P4-A-ABSENT")
+    return operators.withColumns({"finding_type": kind, "severity": severity, "rule_id": rule}).where("finding_type is not null")
+
+
+def period_findings(claims: DataFrame) -> DataFrame:
+    """(project_id, periods, claim_ids, n_suppressed) for each project whose documents of one purpose state different periods, or that has claims to set aside.
+
+    claims(project_id, document_id, claim_id, period, core boolean). Core claims conflict if two periods and two documents
+    have them: periods is then the sorted list and claim_ids the least claim of each; otherwise both are null. Claims of
+    other documents are never compared: n_suppressed counts them where there are core ones. A project has as many periods
+    as there are pairs of years at most, so its lists are bounded. Null periods, and rows whose core is null, count for nothing.
+    """
+    sizes = claims.groupBy("project_id").agg(
+        F.count_distinct(F.when(F.col("core"), F.col("document_id"))).alias("docs"), F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("others"))
+    stated = claims.where("core and period is not null").groupBy("project_id", "period").agg(F.min("claim_id").alias("claim_id"))
+    lists = stated.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("period", "claim_id"))).alias("each"))
+    conflict = (F.size("each") >= 2) & (F.col("docs") >= 2)
+    found = sizes.where("n_core > 0").join(lists, "project_id").select(
+        "project_id", F.when(conflict, F.array_join("each.period", ", ")).alias("periods"), F.when(conflict, F.array_join(F.transform("each", lambda e: e["claim_id"].cast("string")), "|")).alias("claim_ids"), F.col("others").alias("n_suppressed"))
+    return found.where("periods is not null or n_suppressed > 0")
+
+
 def exact_groups(rows: DataFrame, key: str, content: Column) -> DataFrame:
     """(digest, representative, n) of contents that more than one row has; the smallest key represents."""
     return rows.groupBy(F.sha2(content.cast("binary"), 256).alias("digest")).agg(F.min(key).alias("representative"), F.count("*").alias("n")).where("n > 1")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
-from quillspark.functions.core import content_id, level, tolerance
+from quillspark.functions import identity, text
+from quillspark.functions.core import confidence, content_id, level, tolerance
 from quillspark.functions.numbers import UNITS, mentions, registry, to_canonical
 from quillspark.operators import entities, matching, meta, ordered, package, retrieval, scoring, tables, validate
 
@@ -449,3 +449,75 @@ SELECT c_nationkey, grp, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 'retail' WHEN n1 >
 def package_profile(t):
     types = t("customer").groupBy("c_nationkey", F.expr("c_custkey div 20").alias("grp")).agg(F.collect_set("c_mktsegment").alias("types"))
     return types.select("c_nationkey", "grp", tables.profile(F.col("types"), _PROFILES).alias("profile"))
+
+
+_FORMS = ("ТОО «{}»", "акционерное общество {}", "ИП  кх \"{}\"", "{}", "ао")
+
+
+@query(rf"""
+WITH n AS (SELECT c_custkey, CASE c_custkey % 5 {' '.join(f"WHEN {k} THEN replace('{f}', '{{}}', c_name)" for k, f in enumerate(_FORMS))} END AS name FROM customer),
+l AS (SELECT c_custkey, trim(regexp_replace(translate(name, '{identity.QUOTES.replace("'", "''")}', '{' ' * len(identity.QUOTES)}'), '\s+', ' ', 'g')) AS label FROM n),
+k AS (SELECT *, lower(label) AS whole, regexp_extract(lower(label), '^({'|'.join(sorted(identity.LEGAL_FORMS, key=len, reverse=True))})( |$)', 1) AS spelling FROM l)
+SELECT c_custkey, label, coalesce(nullif(trim(substr(whole, length(spelling) + 1)), ''), whole) AS key,
+  CASE spelling {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in identity.LEGAL_FORMS.items())} END AS form FROM k""")
+def organisation_names(t):
+    spelled = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        spelled = F.when(F.col("c_custkey") % 5 == k, F.replace(F.lit(form), F.lit("{}"), F.col("c_name"))).otherwise(spelled)
+    return t("customer").select("c_custkey", identity.organisation(spelled).alias("o")).select("c_custkey", "o.*")
+
+
+@query(r"""
+WITH r AS (SELECT o_orderkey, 'No ' || lpad((o_orderkey * 7919)::VARCHAR, CASE WHEN o_orderkey % 3 = 0 THEN 11 ELSE 12 END, '0') AS raw, 1995 + o_orderkey % 110 AS a, 1998 + o_custkey % 107 AS b FROM orders),
+d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM r)
+SELECT o_orderkey, CASE WHEN length(digits) = 12 THEN digits END AS identifier, CASE WHEN a BETWEEN 2000 AND 2100 AND b BETWEEN 2000 AND 2100 AND a <= b THEN a || '-' || b END AS period FROM d""")
+def identifiers_and_periods(t):
+    key = F.col("o_orderkey")
+    raw = F.concat(F.lit("No "), F.lpad((key * 7919).cast("string"), F.when(key % 3 == 0, 11).otherwise(12), F.lit("0")))
+    return t("orders").select("o_orderkey", identity.identifier(raw).alias("identifier"), identity.period(1995 + key % 110, (1998 + F.col("o_custkey") % 107).cast("string")).alias("period"))
+
+
+_NAMES = ("a/{}", "/{}", "../{}", ".{}", "b/../{}", "c\\{}", "{}", "{}..x", "")
+
+
+@query(rf"""
+WITH n AS (SELECT p_partkey, CASE p_partkey % 9 {' '.join(f"WHEN {k} THEN replace('{f}', '{{}}', p_name)" for k, f in enumerate(_NAMES))} END AS name FROM part),
+s AS (SELECT *, NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..') AS path, name <> '' AND NOT contains(name, '/') AND NOT contains(name, chr(92)) AND NOT contains(name, '..') AS component FROM n)
+SELECT p_partkey, path, path AND name <> '' AND NOT contains(name, chr(92)) AS posix_path, component, component AND NOT starts_with(name, '.') AS identifier FROM s""")
+def safe_names(t):
+    name = F.lit(None).cast("string")
+    for k, form in enumerate(_NAMES):
+        name = F.when(F.col("p_partkey") % len(_NAMES) == k, F.replace(F.lit(form), F.lit("{}"), F.col("p_name"))).otherwise(name)
+    rows = t("part").select("p_partkey", name.alias("name"))
+    n = F.col("name")
+    return rows.select("p_partkey", identity.safe_path(n).alias("path"), identity.safe_posix_path(n).alias("posix_path"), identity.safe_component(n).alias("component"), identity.safe_identifier(n).alias("identifier"))
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS project_id, c_custkey // 3 AS document_id, c_custkey AS claim_id, (2000 + c_custkey % 4) || '-' || (2004 + c_nationkey % 2) AS period, c_nationkey % 5 <> 0 AND c_custkey % 3 <> 0 AS core FROM customer WHERE c_nationkey % 7 > 0 OR c_custkey % 4 = 1),
+s AS (SELECT project_id, count(DISTINCT document_id) FILTER (WHERE core) AS docs, count(*) FILTER (WHERE NOT core) AS n_suppressed FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE core) > 0),
+p AS (SELECT project_id, period, min(claim_id) AS claim_id FROM c WHERE core GROUP BY ALL),
+l AS (SELECT project_id, count(*) AS n, string_agg(period, ', ' ORDER BY period) AS periods, string_agg(claim_id::VARCHAR, '|' ORDER BY period) AS claim_ids FROM p GROUP BY 1)
+SELECT s.project_id, CASE WHEN n >= 2 AND docs >= 2 THEN periods END AS periods, CASE WHEN n >= 2 AND docs >= 2 THEN claim_ids END AS claim_ids, n_suppressed
+FROM s JOIN l ON s.project_id = l.project_id WHERE (n >= 2 AND docs >= 2) OR n_suppressed > 0""")
+def period_conflicts(t):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    claims = t("customer").where((nation % 7 > 0) | (key % 4 == 1)).select(
+        nation.alias("project_id"), F.expr("c_custkey div 3").alias("document_id"), key.alias("claim_id"), identity.period(2000 + key % 4, 2004 + nation % 2).alias("period"),
+        ((nation % 5 != 0) & (key % 3 != 0)).alias("core"))
+    return entities.period_findings(claims)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS project_id, CASE o_orderkey % 5 WHEN 0 THEN 'conflicting_identifier' WHEN 1 THEN 'unresolved_names' WHEN 2 THEN 'absent' WHEN 3 THEN 'confirmed_by_name' ELSE 'confirmed_by_identifier' END AS status, 1 + o_custkey % 3 AS n_names, o_custkey % 4 AS n_named, o_custkey % 6 AS n_documents, o_orderpriority IN ('1-URGENT', '2-HIGH') AS scanned FROM orders),
+f AS (SELECT *, CASE WHEN status = 'conflicting_identifier' THEN 'conflicting_operator' WHEN status = 'unresolved_names' AND n_named >= 2 THEN 'unresolved_entity_identity' WHEN status = 'absent' AND n_documents >= 2 THEN 'insufficient_cross_document_context' END AS finding_type FROM o)
+SELECT project_id, finding_type, CASE WHEN finding_type <> 'conflicting_operator' THEN 'info' WHEN n_names = 1 THEN 'medium' ELSE 'low' END AS severity,
+  CASE finding_type WHEN 'conflicting_operator' THEN 'P4-A-IDENTIFIER' WHEN 'unresolved_entity_identity' THEN 'P4-A-UNRESOLVED' ELSE 'P4-A-ABSENT' END AS rule_id,
+  (CASE finding_type WHEN 'conflicting_operator' THEN 0.85 WHEN 'unresolved_entity_identity' THEN 0.40 ELSE 0.35 END - CASE WHEN scanned THEN 0.15 ELSE 0 END)::DECIMAL(4,2) AS confidence
+FROM f WHERE finding_type IS NOT NULL""")
+def identity_findings(t):
+    key, buyer = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.element_at(F.array(*map(F.lit, ("conflicting_identifier", "unresolved_names", "absent", "confirmed_by_name", "confirmed_by_identifier"))), (key % 5 + 1).cast("int"))
+    scanned = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.array(F.lit("ocr_source"), F.lit("ocr_source")))
+    operators = t("orders").select(key.alias("project_id"), status.alias("status"), (1 + buyer % 3).alias("n_names"), (buyer % 4).alias("n_named"), (buyer % 6).alias("n_documents"), scanned.alias("flags"))
+    return entities.identity_findings(operators).select("project_id", "finding_type", "severity", "rule_id", confidence(F.col("finding_type"), F.col("flags")).alias("confidence"))

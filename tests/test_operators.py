@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import core, numbers, text
+from quillspark.functions import core, identity, numbers, text
 from quillspark.operators import entities, matching, meta, ordered, retrieval
 from quillspark.operators.graph import components
 from quillspark.sources import records, sinks
@@ -214,3 +214,50 @@ def test_tables_and_numerals(spark):
     assert [r[0] for r in concepts.select(tables.concept_in(F.col("c"), F.col("t"))).collect()] == [True, False, False]
     grids = spark.createDataFrame([(1, 2, [["a", None]]), (2, 2, [["a"]]), (1, 1, [[" "]]), (None, 1, None)], "r int, c int, cells array<array<string>>")
     assert [r[0] for r in grids.select(tables.table_errors(F.col("r"), F.col("c"), F.col("cells"))).collect()] == [[], ["row_count", "row_width"], ["blank"], ["malformed"]]
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("ТОО «Синтез  Урал»", ("ТОО Синтез Урал", "синтез урал", "ТОО")), ("«СИНТЕЗ\u00a0УРАЛ»", ("СИНТЕЗ УРАЛ", "синтез урал", None)), ("ИП КХ Алга", ("ИП КХ Алга", "алга", "ИП КХ")),
+        ("Товарищество с ограниченной ответственностью \"А\"", ("Товарищество с ограниченной ответственностью А", "а", "ТОО")), ("АО", ("АО", "ао", "АО")), ("Аоки", ("Аоки", "аоки", None)),
+        ("", ("", "", None)), (None, (None, None, None)),
+    ],
+)
+def test_organisation(spark, name, expected):
+    assert tuple(spark.createDataFrame([(name,)], "n string").select(identity.organisation(F.col("n")).alias("o")).first()["o"]) == expected
+
+
+def test_identifiers_periods_and_labels(spark):
+    rows = spark.createDataFrame([("БИН 010140-000143", "2024", " 2026 ", "итого по цеху"), ("123", "2026", "2024", "в том числе"), ("", "x", "2024", ""), (None, None, None, None), ("1" * 13, "1999", "2001", "сверх того")], "raw string, a string, b string, label string")
+    got = rows.select(identity.identifier(F.col("raw")), identity.period(F.col("a"), F.col("b")), identity.begins_with_any(F.col("label"), identity.TOTALS), identity.begins_with_any(F.col("label"), identity.SUBSETS)).collect()
+    assert [tuple(r) for r in got] == [("010140000143", "2024-2026", True, False), (None, None, False, True), (None, None, False, False), (None, None, False, False), (None, None, False, False)]
+
+
+def test_safe_names(spark):
+    n = F.col("n")
+    rows = spark.createDataFrame([("a/b.png",), ("a/../b",), ("/a",), ("..",), ("a\\b",), (".a",), ("a..b",), ("",), (None,)], "n string")
+    got = [tuple(r) for r in rows.select(identity.safe_path(n), identity.safe_posix_path(n), identity.safe_component(n), identity.safe_identifier(n)).collect()]
+    yes, no = True, False
+    assert got == [(yes, yes, no, no), (no, no, no, no), (no, no, no, no), (no, no, no, no), (yes, no, no, no), (yes, yes, yes, no), (yes, yes, no, no), (yes, no, no, no), (no, no, no, no)]
+
+
+def test_confidence(spark):
+    cases = [("conflicting_operator", None), ("conflicting_operator", ["ocr_source", "ocr_source", "other"]), ("unresolved_entity_identity", ["ocr_source", "address_partial", "single_document"]), ("unknown", [])]
+    rows = spark.createDataFrame(cases, "k string, f array<string>")
+    assert [str(r[0]) for r in rows.select(core.confidence(F.col("k"), F.col("f"))).collect()] == ["0.85", "0.70", "0.05", "0.50"]
+    assert str(rows.limit(1).select(core.confidence(F.col("k"), F.col("f"), extra=F.lit("0.3"))).first()[0]) == "0.95"
+
+
+def test_period_findings(spark):
+    claims = [("p", 1, "c1", "2024-2026", True), ("p", 2, "c2", "2025-2026", True), ("p", 2, "c0", "2025-2026", True), ("p", 3, "c3", "2020-2021", False), ("p", 4, "c4", "2020-2021", None), ("q", 1, "c5", "2024-2026", True), ("q", 1, "c6", "2025-2026", True), ("r", 1, "c7", None, True), ("s", 1, "c8", "2024-2026", False)]
+    schema = "project_id string, document_id long, claim_id string, period string, core boolean"
+    rows = entities.period_findings(spark.createDataFrame(claims, schema)).collect()
+    assert [tuple(r) for r in rows] == [("p", "2024-2026, 2025-2026", "c1|c0", 1)]
+    assert entities.period_findings(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_identity_findings(spark):
+    operators = [("conflicting_identifier", 1, 1, 1), ("conflicting_identifier", 2, 1, 1), ("unresolved_names", 2, 1, 5), ("unresolved_names", 2, 2, 5), ("absent", 0, 0, 1), ("absent", 0, 0, 2), ("confirmed_by_name", 1, 2, 2), (None, None, None, None)]
+    rows = entities.identity_findings(spark.createDataFrame(operators, "status string, n_names long, n_named long, n_documents long")).collect()
+    assert [(r["finding_type"], r["severity"]) for r in rows] == [("conflicting_operator", "medium"), ("conflicting_operator", "low"), ("unresolved_entity_identity", "info"), ("insufficient_cross_document_context", "info")]
