@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.lineage import cut
 
-#: A node is a hub if it has over a HUB-th of the edges: there can be 2 * HUB of them at most. Only where there are more edges than FEW do hubs matter to a task.
-HUB, FEW = 64, 1 << 17
+#: A node is a hub if it has over a HUB-th of the edges: there can be 2 * HUB of them at most.
+HUB = 64
+#: Up to this many edges (16 MB) one task finds all roots, which takes less than the shuffles of one round.
+FEW = 1 << 20
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges (a, b), sorted, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        at_a, at_b = label[a], label[b]
+        open_ = at_a != at_b
+        if not open_.any():
+            return nodes, nodes[label]
+        a, b, at_a, at_b = a[open_], b[open_], at_a[open_], at_b[open_]
+        np.minimum.at(label, np.maximum(at_a, at_b), np.minimum(at_a, at_b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes and roots of the edges in all batches."""
+    held = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, roots(held["a"].to_numpy(), held["b"].to_numpy()))), ["node", "root"])
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -22,7 +49,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """edges(a, b) with m, the least b of an a. A hub's edges stay where they are: its one row goes to all tasks."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    hubs = [r["a"] for r in low.where(F.col("n") * HUB > total).select("a").collect()] if total > FEW else []
+    hubs = [r["a"] for r in low.where(F.col("n") * HUB > total).select("a").collect()]
     low = low.drop("n")
     if not hubs:
         return edges.join(low, "a")
@@ -35,14 +62,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: longs a, b in any order; null ends, loops and repeated rows count for nothing. A round is two
     aggregations and two joins on a node; what a hub gathers is one minimum, never a list. Every round is
-    written to the shared folder; the last is the one that leaves stars. No edges give no rows.
+    written to the shared folder; the last is the one that leaves stars. FEW edges at most need no rounds:
+    one task reads them. No edges give no rows.
     """
     pairs = cut(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct())
+    if pairs.count() <= FEW:
+        return cut(pairs.coalesce(1).mapInArrow(_roots, "node long, root long"))
     total, odd = _state(pairs)
     while odd:
         both = pairs.unionByName(pairs.selectExpr("b as a", "a as b"))
-        large = _with_least(both, total).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct()
-        large = cut(large) if total > FEW else large
+        large = cut(_with_least(both, total).where("b > a").selectExpr("b as a", "least(a, m) as b").distinct())
         small = _with_least(large, total)
         small = small.selectExpr("a", "m as b").unionByName(small.selectExpr("b as a", "m as b")).where("a != b").distinct()
         pairs = cut(small)

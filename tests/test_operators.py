@@ -2,6 +2,7 @@ import hashlib
 import zipfile
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def test_cosine_links_in_blocks(spark):
     assert entities.cosine_links(rows.limit(0), rows, "k", "v", 0.3).count() == 0
 
 
-@pytest.mark.parametrize("few", [1 << 17, 0])  # plain joins; hubs apart
+@pytest.mark.parametrize("few", [1 << 20, 0])  # one task; rounds, hubs apart
 def test_components(spark, monkeypatch, few):
     from quillspark.operators import graph
 
@@ -102,6 +103,20 @@ def test_components(spark, monkeypatch, few):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_roots_by_brute_force():
+    from quillspark.operators.graph import roots
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400):
+        a, b = rng.integers(-n, n, (2, n))
+        label = {int(x): int(x) for x in (*a, *b)}
+        for _ in label:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                label[x] = label[y] = min(label[x], label[y])
+        nodes, least = roots(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == label
+
+
 def test_near_clusters_by_brute_force(spark):
     import random
 
