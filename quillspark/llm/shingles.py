@@ -112,7 +112,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         before = live.select("class").distinct().count()
         roots = components(found.selectExpr("class_a as a", "class_b as b"))
         live = cut(live.join(roots, live["class"] == roots.node, "left").selectExpr("key", "fp", "n", "coalesce(root, class) as class"))
-        few = live.select("class").distinct().count() > 0.9 * before
+        few = roots.where("node != root").count() < 0.1 * before
         turn += 1
     return sets.sparkSession.createDataFrame([], "a long, b long") if edges is None else edges
 
