@@ -80,30 +80,62 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"size(array_intersect(_a, _b)) * {SHARED + OF} >= {SHARED} * (size(_a) + size(_b))").select(*pairs.columns)
 
 
+def _leaders(rows: DataFrame, key: str) -> DataFrame:
+    """(key, m, same, top) for the values of key in rows(key, class) that several classes have: rows, the sum of the classes' squares, the largest class if it has several rows."""
+    held = rows.groupBy(key, "class").agg(F.count("*").alias("m"))
+    top = F.max_by(F.expr("if(m > 1, class, null)"), F.struct("m", "class"))
+    return held.groupBy(key).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), top.alias("top"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+
+
+def _by_prefix(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs(a, b, class_a, class_b) of different classes in live(fp, n, class) that can have a similarity of 0.8 and more.
+
+    Prefix and position filters (Xiao et al., 2008), which lose no pair: with each set's shingles in one order, the
+    rarest in live first, the first one in common is among the first fifth of the larger set and the first ninth of the
+    smaller, and enough must be left behind it in both. A shingle's largest class isn't compared with itself.
+    """
+    own = live.select("fp", "n", "class").distinct()
+    each = cut(own.join(sets, "fp").select("fp", "n", "class", F.explode("hashes").alias("h")))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(often, "h").groupBy("fp", "n", "class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+    # shingles that no other set has come first and meet nothing
+    front = ranked.select("fp", "n", "class", F.expr("n - size(order)").alias("alone"), F.posexplode("order").alias("k", "o")).selectExpr("o.h as h", "fp", "n", "class", "alone + k as at").where("5 * at <= n")
+    front = cut(front)
+    front = cut(front.join(_leaders(front, "h").select("h", "top"), "h").selectExpr("h", "fp", "n", "class", "at", "coalesce(class = top, false) as main"))
+    other = front.selectExpr("h", "fp as b", "n as n_b", "class as class_b", "at as at_b", "main as main_b")
+    small = "if(n < n_b or (n = n_b and fp < b), 9 * at <= n, 9 * at_b <= n_b)"
+    return front.where("not main").join(other, "h").where(f"class != class_b and (main_b or fp > b) and {small} and {SHARED + OF} * least(n - at, n_b - at_b) >= {SHARED} * (n + n_b)").select("fp", "class", "b", "class_b")
+
+
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of set names that connect all candidates of similarity 0.8 and more.
 
     rows(key, fp, n): the bands that two sets at least have. Where a key's sets make more than PAIRS pairs a
-    row, each is compared with one member of its key, another one each round, and what is similar becomes one
-    class; pairs within a class need no comparison, as they change no component. What is left when rounds
-    merge little is compared in full: no group is capped.
+    row, each is compared with the key's member whose keys have the most rows, the likely original, in later
+    rounds with one outside the key's largest class; what is similar becomes one class. Pairs within a class
+    need no comparison, as they change no component. When rounds merge little, what is left is compared by
+    shared rare shingles: no group is capped.
     """
-    edges, turn, few = None, 0, False
+    edges, few = None, False
     live = cut(rows.withColumn("class", F.col("fp")))
     while True:
-        sizes = live.groupBy("key", "class").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        state = sizes.where("m * m > same").agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
+        sizes = cut(_leaders(live, "key"))
+        state = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
         if not state[0]:
             break
-        live = cut(live.join(sizes.where("m * m > same").select("key"), "key", "left_semi"))
-        last = few or state[1] <= PAIRS * state[0]
-        if last:
-            other = live.selectExpr("key", "fp as b", "n as n_b", "class as class_b")
-            met = live.join(other, "key").where("fp > b")
+        live = cut(live.join(sizes, "key"))
+        crowded = state[1] > PAIRS * state[0]
+        last = few or not crowded
+        if crowded and few:
+            met = _by_prefix(live, sets)
         else:
-            one = live.groupBy("key").agg(F.min_by(F.struct("fp", "n", "class"), F.xxhash64("fp", F.lit(turn))).alias("o"))
-            met = live.join(one.selectExpr("key", "o.fp as b", "o.n as n_b", "o.class as class_b"), "key")
-        met = met.where(f"class != class_b and {OF} * least(n, n_b) >= {SHARED} * greatest(n, n_b)")
+            if crowded:
+                fame = live.groupBy("fp").agg(F.sum("m").alias("fame"))
+                best = F.max_by(F.struct("fp", "n", "class"), F.struct(F.expr("not coalesce(class = top, false)"), "fame", "fp"))
+                other = live.join(fame, "fp").groupBy("key").agg(best.alias("o")).selectExpr("key", "o.fp as b", "o.n as n_b", "o.class as class_b")
+            else:
+                other = live.selectExpr("key", "fp as b", "n as n_b", "class as class_b")
+            met = live.join(other, "key").where(f"class != class_b and {'true' if crowded else 'fp > b'} and {OF} * least(n, n_b) >= {SHARED} * greatest(n, n_b)").select("fp", "class", "b", "class_b")
         pairs = cut(met.selectExpr("greatest(fp, b) as a", "least(fp, b) as b", "greatest(class, class_b) as class_a", "least(class, class_b) as class_b").distinct())
         found = cut(_similar(pairs, sets))
         edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
@@ -113,7 +145,6 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         roots = components(found.selectExpr("class_a as a", "class_b as b"))
         live = cut(live.join(roots, live["class"] == roots.node, "left").selectExpr("key", "fp", "n", "coalesce(root, class) as class"))
         few = roots.where("node != root").count() < 0.1 * before
-        turn += 1
     return sets.sparkSession.createDataFrame([], "a long, b long") if edges is None else edges
 
 

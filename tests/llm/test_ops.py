@@ -532,6 +532,26 @@ def test_pipeline_drops_near_copies(spark, monkeypatch, pairs):
     assert sum(0.8 <= x <= 0.95 for x in between) > 50
 
 
+def test_prefixes_lose_no_pair(spark):
+    """All pairs of random sets around a few centres, some of one class already, against brute force."""
+    from quillspark.llm import shingles
+
+    rng = random.Random(4)
+    sets = {}
+    for centre in range(4):
+        base = rng.sample(range(1000 * centre, 1000 * centre + 400), rng.choice([9, 40, 90]))
+        for _ in range(40):
+            kept = rng.sample(base, rng.randint(int(len(base) * 0.7), len(base)))
+            sets[len(sets)] = sorted({*kept, *rng.sample(range(5000), rng.randint(0, len(base) // 6))})
+    classes = {k: k if k % 3 else k % 4 - 10 for k in sets}
+    live = spark.createDataFrame([(k, len(v), classes[k]) for k, v in sets.items()], "fp long, n int, class long")
+    table = spark.createDataFrame(list(sets.items()), "fp long, hashes array<long>")
+    want = {(a, b) for a in sets for b in sets if a > b and classes[a] != classes[b] and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    met = shingles._by_prefix(live, table).selectExpr("greatest(fp, b) as a", "least(fp, b) as b", "class as class_a", "class_b").distinct()
+    got = {(r["a"], r["b"]) for r in shingles._similar(met, table).collect()}
+    assert got == want and len(want) > 300
+
+
 def plain_components(ids, alike):
     label = {d: d for d in ids}
     for _ in range(20):
