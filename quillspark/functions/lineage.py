@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Tables cut within each settle() that is under way.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,5 +40,26 @@ def cut(df: DataFrame) -> DataFrame:
         _ROOTS[base] = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
         atexit.register(_sweep, spark, _ROOTS[base])
     path = f"{_ROOTS[base]}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """cut(build()); the tables that build has cut on its way, which nothing but its result may read, then go at once."""
+    _OPEN.append([])
+    try:
+        rows = build()
+    except BaseException:
+        _drop(spark, _OPEN.pop())
+        raise
+    mine = _OPEN.pop()
+    done = cut(rows)
+    _drop(spark, mine)
+    return done
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _sweep(spark, path)

@@ -1,6 +1,8 @@
 import hashlib
 import zipfile
 from decimal import Decimal
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -103,6 +105,22 @@ def test_components(spark, monkeypatch, few):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settle_drops_what_was_cut_on_the_way(spark):
+    from quillspark.functions import lineage
+
+    held = []
+
+    def build():
+        held.append(lineage.cut(spark.range(5)))
+        held.append(lineage.settle(spark, lambda: lineage.cut(held[0]).where("id > 1")))
+        return held[1].where("id > 2")
+
+    done = lineage.settle(spark, build)
+    assert sorted(r["id"] for r in done.collect()) == [3, 4] and not lineage._OPEN
+    exists = lambda df: Path(urlparse(df.inputFiles()[0]).path).exists()
+    assert exists(done) and not any(map(exists, held))
+
+
 def test_roots_by_brute_force():
     from quillspark.operators.graph import roots
 
