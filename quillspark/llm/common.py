@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.lineage import cut  # noqa: F401  for the operators
+from quillspark.functions.lineage import cut, settle  # noqa: F401  for the operators
 
 #: Word separators of every contract: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"

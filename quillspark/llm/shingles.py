@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, join_hot, small_batches
+from quillspark.llm.common import cut, join_hot, settle, small_batches
 from quillspark.llm.simhash import keep_one
 from quillspark.operators.graph import components
 
@@ -157,12 +157,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     own = cut(_banded(docs))
     firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("bands").alias("bands")))
-    keys = firsts.select("fp", "n", "first", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    rows = cut(keys.join(shared, "key", "left_semi"))
-    ids = rows.select(F.col("first").alias("doc_id")).distinct()
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi")))
-    roots = components(links(rows.select("key", "fp", "n"), sets))
+
+    def linked() -> DataFrame:
+        keys = firsts.select("fp", "n", "first", F.explode("bands").alias("key"))
+        shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        rows = cut(keys.join(shared, "key", "left_semi"))
+        ids = rows.select(F.col("first").alias("doc_id")).distinct()
+        sets = cut(_sets(docs.join(ids, "doc_id", "left_semi")))
+        return components(links(rows.select("key", "fp", "n"), sets))
+
+    roots = settle(docs.sparkSession, linked)
     classed = firsts.select("fp", "first").join(roots, firsts.fp == roots.node, "left").selectExpr("fp", "first", "coalesce(root, fp) as class")
     lowest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
     found = join_hot(classed, lowest, "class").select("fp", "class", "component_id")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, join_hot, packed, small_batches, table, unpacked
+from quillspark.llm.common import cut, join_hot, packed, settle, small_batches, table, unpacked
 from quillspark.operators.graph import components
 
 #: Pairs of a probe and a fingerprint that a segment's value may make; beyond, the other half's segments must meet as well.
@@ -82,7 +82,7 @@ def _classed(docs: DataFrame, width: int, distance: int) -> DataFrame:
     """(doc_id, fp, text_hash, class, component_id) for each row of docs."""
     own = cut(fingerprints(docs, width))
     firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), distance))
+    roots = settle(docs.sparkSession, lambda: components(links(firsts.select("fp"), distance)))
     classed = firsts.join(roots, firsts.fp == roots.node, "left").selectExpr("fp", "first", "coalesce(root, fp) as class")
     lowest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
     found = join_hot(classed, lowest, "class").select("fp", "class", "component_id")
