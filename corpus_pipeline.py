@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import cut, settle
 from quillspark.llm.lines import strip_lines
 from quillspark.llm.mixing import apply_mix
 from quillspark.llm.pieces import encode
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Fingerprints at 3 or fewer differing bits first; of what is left, texts whose shingles are similar at 0.8 and more,
     which 64 bits can't tell (such texts differ in 10 bits in the mean).
     """
-    return keep_distinct(cut(keep_first(docs, WIDTH)))
+    return keep_distinct(settle(spark, lambda: keep_first(docs, WIDTH)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
