@@ -61,6 +61,15 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", ho
     return rows.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(small.where(~is_hot), key, how))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, as a side of a join that is shuffled whatever size Spark takes them for.
+
+    Spark counts nothing for an explode, and a file whose values repeat is far smaller than its rows: such a table may
+    be taken for small and go to all executors by way of the driver's memory.
+    """
+    return rows.hint("merge")
+
+
 def most_frequent(rows: DataFrame, weight: Column, most: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows with the greatest n, `most` of weight in sum at most, and the others if there are any. Rows whose n is within a twelfth of each other stay together."""
     level = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * 8)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, join_hot, packed, settle, small_batches, table, unpacked
+from quillspark.llm.common import cut, join_hot, packed, settle, small_batches, spread, table, unpacked
 from quillspark.operators.graph import components
 
 #: Pairs of a probe and a fingerprint that a segment's value may make; beyond, the other half's segments must meet as well.
@@ -66,14 +66,14 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     segments = classed.selectExpr("fp", "class", "explode(array(named_struct('s', 0L, 'v', fp & 4294967295L), named_struct('s', 4294967296L, 'v', shiftrightunsigned(fp, 32)))) as seg")
     probes = segments.select("fp", "class", "seg", F.explode(F.expr(_flips(32))).alias("m")).selectExpr("fp", "class", "seg.s + (seg.v ^ m) as key", "m = 0 as home")
     met = probes.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.count_if("home").alias("homes")).where("lo != hi and homes > 0")
-    live = cut(probes.join(met.select("key", (F.col("n") * F.col("homes") > CROWD).alias("crowded")), "key"))
+    live = cut(spread(probes).join(met.select("key", (F.col("n") * F.col("homes") > CROWD).alias("crowded")), "key"))
     few, many = live.where("not crowded"), live.where("crowded")
-    pairs = few.join(few.where("home").selectExpr("key", "fp as b", "class as class_b"), "key").select("fp", "class", "b", "class_b")
+    pairs = spread(few).join(few.where("home").selectExpr("key", "fp as b", "class as class_b"), "key").select("fp", "class", "b", "class_b")
     # the other half differs in 3 bits at most, so one of its two segments in one at most
     halves = "if(key < 4294967296L, shiftrightunsigned(fp, 32), fp & 4294967295L) as other"
     finer = many.selectExpr("key", "fp", "class", "home", halves).selectExpr("key", "fp", "class", "home", "explode(array(named_struct('s', 0L, 'v', other & 65535L), named_struct('s', 65536L, 'v', shiftrightunsigned(other, 16)))) as seg")
     sought = finer.select("key", "fp", "class", "seg", F.explode(F.expr(_flips(16))).alias("m")).selectExpr("key", "seg.s + (seg.v ^ m) as sub", "fp", "class")
-    pairs = pairs.unionByName(sought.join(finer.where("home").selectExpr("key", "seg.s + seg.v as sub", "fp as b", "class as class_b"), ["key", "sub"]).select("fp", "class", "b", "class_b"))
+    pairs = pairs.unionByName(spread(sought).join(finer.where("home").selectExpr("key", "seg.s + seg.v as sub", "fp as b", "class as class_b"), ["key", "sub"]).select("fp", "class", "b", "class_b"))
     far = pairs.where(f"class != class_b and bit_count(fp ^ b) <= {distance}").selectExpr("greatest(fp, b) as a", "least(fp, b) as b")
     return far.unionByName(merged.where("node != root").selectExpr("node as a", "root as b")).distinct()
 

@@ -141,6 +141,32 @@ def test_simhash_links_by_brute_force(spark, monkeypatch, crowd):
     assert {f: got.get(f, f) for f in signed} == label
 
 
+def broadcast_rows(spark, run):
+    """The rows of the largest broadcast of what run() executes."""
+    jvm = spark.sparkContext._jvm
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = [0]
+    for e in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())[done:]:
+        values = jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionMetrics(e.executionId()))
+        for node in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.planGraph(e.executionId()).allNodes()):
+            if node.name().startswith("BroadcastExchange"):
+                found += [int(values[m.accumulatorId()].replace(",", "")) for m in jvm.scala.jdk.javaapi.CollectionConverters.asJava(node.metrics()) if m.name() == "number of output rows" and m.accumulatorId() in values]
+    return max(found)
+
+
+@pytest.mark.parametrize("crowd", [1 << 16, 0])
+def test_probes_are_not_broadcast(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(500)]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for b in base for x in (b, b ^ 0b111 << rng.randrange(60))})
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    assert broadcast_rows(spark, lambda: simhash.links(rows).collect()) <= 2 * len(fps)
+
+
 def test_language_of_held_out_texts(spark, real):
     rows = langid.identify(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
