@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, join_hot, settle, small_batches
+from quillspark.llm.common import cut, join_hot, settle, small_batches, spread
 from quillspark.llm.simhash import keep_one
 from quillspark.operators.graph import components
 
@@ -76,7 +76,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(a, b, class_a, class_b) of set names whose sets have a similarity of 0.8 and more, exactly."""
-    both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
+    both = spread(pairs).join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
     return both.where(f"size(array_intersect(_a, _b)) * {SHARED + OF} >= {SHARED} * (size(_a) + size(_b))").select(*pairs.columns)
 
 
@@ -97,14 +97,14 @@ def _by_prefix(live: DataFrame, sets: DataFrame) -> DataFrame:
     own = live.select("fp", "n", "class").distinct()
     each = cut(own.join(sets, "fp").select("fp", "n", "class", F.explode("hashes").alias("h")))
     often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(often, "h").groupBy("fp", "n", "class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+    ranked = spread(each).join(often, "h").groupBy("fp", "n", "class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
     # shingles that no other set has come first and meet nothing
     front = ranked.select("fp", "n", "class", F.expr("n - size(order)").alias("alone"), F.posexplode("order").alias("k", "o")).selectExpr("o.h as h", "fp", "n", "class", "alone + k as at").where("5 * at <= n")
     front = cut(front)
-    front = cut(front.join(_leaders(front, "h").select("h", "top"), "h").selectExpr("h", "fp", "n", "class", "at", "coalesce(class = top, false) as main"))
+    front = cut(spread(front).join(_leaders(front, "h").select("h", "top"), "h").selectExpr("h", "fp", "n", "class", "at", "coalesce(class = top, false) as main"))
     other = front.selectExpr("h", "fp as b", "n as n_b", "class as class_b", "at as at_b", "main as main_b")
     small = "if(n < n_b or (n = n_b and fp < b), 9 * at <= n, 9 * at_b <= n_b)"
-    return front.where("not main").join(other, "h").where(f"class != class_b and (main_b or fp > b) and {small} and {SHARED + OF} * least(n - at, n_b - at_b) >= {SHARED} * (n + n_b)").select("fp", "class", "b", "class_b")
+    return spread(front.where("not main")).join(other, "h").where(f"class != class_b and (main_b or fp > b) and {small} and {SHARED + OF} * least(n - at, n_b - at_b) >= {SHARED} * (n + n_b)").select("fp", "class", "b", "class_b")
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         state = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
         if not state[0]:
             break
-        live = cut(live.join(sizes, "key"))
+        live = cut(spread(live).join(sizes, "key"))
         crowded = state[1] > PAIRS * state[0]
         last = few or not crowded
         if crowded and few:
@@ -132,10 +132,10 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
             if crowded:
                 fame = live.groupBy("fp").agg(F.sum("m").alias("fame"))
                 best = F.max_by(F.struct("fp", "n", "class"), F.struct(F.expr("not coalesce(class = top, false)"), "fame", "fp"))
-                other = live.join(fame, "fp").groupBy("key").agg(best.alias("o")).selectExpr("key", "o.fp as b", "o.n as n_b", "o.class as class_b")
+                other = spread(live).join(fame, "fp").groupBy("key").agg(best.alias("o")).selectExpr("key", "o.fp as b", "o.n as n_b", "o.class as class_b")
             else:
                 other = live.selectExpr("key", "fp as b", "n as n_b", "class as class_b")
-            met = live.join(other, "key").where(f"class != class_b and {'true' if crowded else 'fp > b'} and {OF} * least(n, n_b) >= {SHARED} * greatest(n, n_b)").select("fp", "class", "b", "class_b")
+            met = spread(live).join(other, "key").where(f"class != class_b and {'true' if crowded else 'fp > b'} and {OF} * least(n, n_b) >= {SHARED} * greatest(n, n_b)").select("fp", "class", "b", "class_b")
         pairs = cut(met.selectExpr("greatest(fp, b) as a", "least(fp, b) as b", "greatest(class, class_b) as class_a", "least(class, class_b) as class_b").distinct())
         found = cut(_similar(pairs, sets))
         edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
@@ -161,7 +161,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def linked() -> DataFrame:
         keys = firsts.select("fp", "n", "first", F.explode("bands").alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-        rows = cut(keys.join(shared, "key", "left_semi"))
+        rows = cut(spread(keys).join(shared, "key", "left_semi"))
         ids = rows.select(F.col("first").alias("doc_id")).distinct()
         sets = cut(_sets(docs.join(ids, "doc_id", "left_semi")))
         return components(links(rows.select("key", "fp", "n"), sets))
