@@ -16,6 +16,8 @@ from quillspark.operators.graph import components
 HAMMING, TEMPERATURE, TOP_AFFINITY, MARGIN = 4, 50.0, 0.30, 0.05
 #: Query vectors that go to every executor at once, about.
 QUERIES = 4096
+#: Cosines that a worker holds at once (4 MB), and links that it gathers before they go out.
+CELLS, LINKS = 1 << 19, 1 << 16
 
 
 def resolve_operators(claims: DataFrame) -> DataFrame:
@@ -98,10 +100,33 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def _unit(vectors: list) -> np.ndarray:
+    m = np.array([np.asarray(v, np.float64) for v in vectors])
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(norm > 0, norm, np.inf)[:, None]
+
+
+def _met(keys: np.ndarray, vectors: list, ids: np.ndarray, wanted: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays (id, key, cosine) of the links of keys' vectors with the unit vectors wanted of ids, some CELLS + LINKS of them at a time at most."""
+    step, held, n = max(1, CELLS // max(1, len(ids))), [], 0
+    for at in range(0, len(keys), step):
+        s = _unit(vectors[at : at + step]) @ wanted.T
+        row, col = np.nonzero(s >= least)
+        own = keys[at : at + step][row]
+        keep = own != ids[col]
+        held.append((ids[col][keep], own[keep], s[row, col][keep]))
+        n += len(held[-1][0])
+        if n >= LINKS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def cosine_links(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float, block: int = QUERIES) -> DataFrame:
     """(query_id, key, cosine) of `least` and more for each of queries against all rows; a vector isn't met with its own key.
 
-    Queries go out in blocks of about `block` vectors, and each batch of rows meets a block in one matrix product. Zero
+    Queries go out in blocks of about `block` vectors, and some rows at a time meet a block in a matrix product of bounded size. Zero
     vectors and nulls have no link. Vectors have one length. No rows give no rows.
     """
     spark = rows.sparkSession
@@ -109,21 +134,12 @@ def cosine_links(queries: DataFrame, rows: DataFrame, key: str, vector: str, lea
     blocks = -(-queries.count() // block)
     schema = f"query_id long, {key} long, cosine double"
 
-    def unit(vectors: list) -> np.ndarray:
-        m = np.array([np.asarray(v, np.float64) for v in vectors])
-        norm = np.sqrt((m * m).sum(axis=1))
-        return m / np.where(norm > 0, norm, np.inf)[:, None]
-
     def against(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, wanted = sent.value
             for batch in batches:
-                if len(batch):
-                    s = unit(batch[vector].tolist()) @ wanted.T
-                    row, col = np.nonzero(s >= least)
-                    own = batch[key].to_numpy()[row]
-                    keep = own != ids[col]
-                    yield pd.DataFrame({"query_id": ids[col][keep], key: own[keep], "cosine": s[row, col][keep]})
+                for found in _met(batch[key].to_numpy(), batch[vector].tolist(), ids, wanted, least):
+                    yield pd.DataFrame(dict(zip(("query_id", key, "cosine"), found, strict=True)))
 
         return meet
 
@@ -131,7 +147,7 @@ def cosine_links(queries: DataFrame, rows: DataFrame, key: str, vector: str, lea
     for k in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k).select(key, vector).toArrow()
         if part.num_rows:
-            sent = spark.sparkContext.broadcast((part[key].to_numpy(), unit(part[vector].to_pylist())))
+            sent = spark.sparkContext.broadcast((part[key].to_numpy(), _unit(part[vector].to_pylist())))
             out = out.unionByName(rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInPandas(against(sent), schema))
     return out
 

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zipfile
 from decimal import Decimal
 from pathlib import Path
@@ -91,6 +92,15 @@ def test_cosine_links_in_blocks(spark):
     assert {(r["query_id"], r["k"]) for r in got.collect()} == want
     assert entities.cosine_links(rows.limit(0), rows, "k", "v", 0.3).count() == 0
 
+def test_cosine_links_hold_little():
+    rng = np.random.default_rng(3)
+    vectors, wanted = list(rng.normal(size=(8_000, 16)).astype(np.float32)), entities._unit(list(rng.normal(size=(4096, 16))))
+    tracemalloc.start()
+    n = sum(len(ids) for ids, _, _ in entities._met(np.arange(8_000) + 10_000, vectors, np.arange(4096), wanted, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (entities._unit(vectors) @ wanted.T >= 0.9).sum() and peak < 40 << 20  # all cosines are 262 MB
+
 
 @pytest.mark.parametrize("few", [1 << 20, 0])  # one task; rounds, hubs apart
 def test_components(spark, monkeypatch, few):
