@@ -131,6 +131,25 @@ def test_settle_drops_what_was_cut_on_the_way(spark):
     assert exists(done) and not any(map(exists, held))
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from quillspark.functions import lineage
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before, set_before = held(), spark.conf.get(lineage._CLEANUP, None)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    again = lineage.cut(sums.join(sums.selectExpr("k", "n as m").hint("merge"), "k"))
+    end = time.time() + 10
+    while held() - before and time.time() < end:  # Spark removes them in another thread
+        time.sleep(0.1)
+    assert not held() - before and again.where("n = m").count() == 7 and sums.count() == 7
+    assert spark.conf.get(lineage._CLEANUP, None) == set_before
+
+
 def test_roots_by_brute_force():
     from quillspark.operators.graph import roots
 
