@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import core, identity, numbers, text
-from quillspark.operators import entities, matching, meta, ordered, retrieval
+from quillspark.operators import entities, matching, meta, ordered, package, retrieval
 from quillspark.operators.graph import components
 from quillspark.sources import records, sinks
 from quillspark.streaming import events
@@ -331,3 +331,16 @@ def test_retrieval_shuffles_queries_once(spark):
     found = retrieval.retrieve(queries, corpus)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(query_id") == 1 and {r["requirement_id"] for r in found.where("query_id = 1").collect()} == {1, 2}
+
+
+def test_sections_are_matched_in_place(spark, monkeypatch):
+    headings = spark.createDataFrame([("1", "Alpha beta gamma"), ("2", "xx alpha beta gamma delta"), ("2", "xx alpha beta gamma delta"), ("3", "beta beta"), ("4", None), ("5", "alpha beta gamma one two"), ("6", "preform plan b")], "heading_id string, title string")
+    rules = spark.createDataFrame([(1, "alpha  beta gamma"), (2, "beta"), (3, "form plan"), (4, None), (5, "delta gamma other")], "rule_id long, alias string")
+    found = package.match_sections(headings, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    expected = [("1", 1, 1), ("1", 2, 3), ("2", 1, 2), ("2", 1, 2), ("2", 2, 3), ("2", 2, 3), ("3", 2, 3), ("5", 1, 2), ("5", 2, 3), ("6", 3, 2)]
+    assert rows(found) == expected
+    monkeypatch.setattr(package, "INDEX_ROWS", 0)
+    assert rows(package.match_sections(headings, rules)) == expected
